@@ -108,3 +108,51 @@ class TwoGenerations:
         """Call between batches only: the batch at hand needs all its words in ``young``."""
         if len(self.young) > self.size:
             self.young, self.old = {}, self.young
+
+
+def labelled_sample(
+    docs: DataFrame,
+    labels: DataFrame,
+    label: str,
+    out_fold: tuple[int, int],
+    per_class: int,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, text, y) of about ``per_class`` labelled rows of each class, and the class sizes.
+
+    ``out_fold``: (modulus, remainder) of ids that are held out.  A hash of the id picks the
+    rows, so every run picks the same; several labels of an id count as their largest; null ids
+    and null labels play no part.  The picked ids number about ``2 * per_class`` at any size of
+    the input, which bounds what is broadcast.
+    """
+    modulus, out = out_fold
+    known = (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", modulus) != out))
+        .groupBy(F.col("doc_id").cast("long").alias("_l"))
+        .agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
+    )
+    sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    share = F.lit(0.0)
+    for y, n in sizes.items():
+        share = F.when(F.col("y") == y, min(1.0, per_class / n)).otherwise(share)
+    picked = known.where(F.pmod(F.xxhash64("_l"), F.lit(1 << 20)) < share * (1 << 20))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    return rows.join(F.broadcast(picked), rows.doc_id == picked._l).select("doc_id", "text", "y"), sizes
+
+
+def logistic(x, y, weight, l2: float = 1e-2, steps: int = 40):
+    """Weights of a logistic regression by Newton steps; the last one is the intercept."""
+    import numpy as np
+
+    x = np.column_stack([x, np.ones(len(x))])
+    w = np.zeros(x.shape[1])
+    ridge = l2 * np.eye(len(w))
+    for _ in range(steps):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        h = weight * np.maximum(p * (1 - p), 1e-6)
+        step = np.linalg.solve(x.T @ (x * h[:, None]) + ridge, x.T @ (weight * (p - y)) + l2 * w)
+        w -= np.clip(step, -5, 5)
+        if np.abs(step).max() < 1e-6:
+            break
+    return w
