@@ -244,7 +244,7 @@ def classes(
     links reach.  A text of fewer words is one shingle; null texts and texts without words have
     none, link with nothing and are kept.  ``kept``: the id is the component's.  Rows that
     repeat an id share its class; a row without an id is in the class of its links, null where
-    they have no id either, and never kept there.  Other columns are ignored.
+    they have no id either, and kept only there.  Other columns are ignored.
     """
     prepare(docs.sparkSession)
     if 100 * threshold[0] < 80 * threshold[1]:
@@ -273,7 +273,7 @@ def classes(
         "doc_id",
         "n_shingles",
         component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.col("node").isNull()).alias("kept"),
+        F.coalesce(F.col("doc_id") == component, F.col("node").isNull() | F.col("least").isNull()).alias("kept"),
     )
 
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -124,8 +125,6 @@ def score_documents(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text
 
 def filter_documents(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that score ``ACCEPT`` or more, with all their columns."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         return pd.Series(model.score(np.array([features(t) for t in texts]).reshape(len(texts), -1)))

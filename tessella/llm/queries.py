@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import neardup, rules
+from . import neardup, rules, topk
 from .common import documents
 
 
@@ -37,6 +37,12 @@ def op5_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .topk import top_k
+
+    return top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "id % 50 = 0", k=5)
+
+
 def op2_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .neardup import classes
 
@@ -95,6 +101,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_topk": op1_topk,
     "op2_near_duplicates": op2_near_duplicates,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
@@ -106,4 +113,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE: dict[str, str] = {"op2_near_duplicates": neardup.ORACLE, "op3_quality_rules": rules.ORACLE}
+ORACLE: dict[str, str] = {"op1_topk": topk.ORACLE, "op2_near_duplicates": neardup.ORACLE, "op3_quality_rules": rules.ORACLE}

@@ -111,6 +111,17 @@ def apply_rules(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
     )
 
 
+def filter_documents(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with all their columns."""
+    whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.lit(0).alias("_one"), F.col(text_col))
+    verdict, _ = compile_rules(rules)
+    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
+    # the partition's number keeps the optimizer from computing the measures within the filter,
+    # where each element of an array would compute the array anew
+    placed = measures(whole, "_one", text_col, keep=("_row",)).withColumn("_at", F.spark_partition_id())
+    return placed.where((F.col("_at") >= 0) & verdict & ~base).select("_row.*")
+
+
 ORACLE = r"""
 WITH d AS (
   SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
