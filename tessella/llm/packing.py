@@ -9,10 +9,12 @@ padding.  Sequences of a tier are dealt to step groups of equal token counts.
 
 from __future__ import annotations
 
+import re
 from bisect import bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ TIERS = (256, 512, 1024, WINDOW)
 END_ID = 1
 #: Tokens of a step group, and rests that a packing round holds in memory.
 STEP_TOKENS, ROUND = 16 * WINDOW, 4096
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Characters that split() drops but the tokenizer keeps.
 KEPT = "\x1c\x1d\x1e\x1f"
 
@@ -40,18 +43,55 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        vocab = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache = TwoGenerations(CACHE_WORDS)
 
+    def learn(self, new: list[str]) -> None:
+        """Put the ids of new stretches into the cache.
+
+        Lower-case Latin letters are one word of the tokenizer, and a full stop or comma after
+        them is another; such words are encoded as one text, where each ends with a token
+        that closes a word.  All other stretches are encoded one by one.
+        """
+        known, plain, other = self.cache.young, {}, []
+        for p in new:
+            core = p[:-1] if p[-1] in ".," else p
+            if core.isalpha() and (core.isascii() or LATIN.fullmatch(core)):
+                core = core.lower()
+                plain[core] = known.get(core)
+            else:
+                other.append(p)
+        fresh = [w for w, ids in plain.items() if ids is None]
+        for lo in range(0, len(fresh), 4096):
+            part = fresh[lo : lo + 4096]
+            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+            cut = np.flatnonzero(self.ends[ids]) + 1
+            if len(cut) == len(part) and cut[-1] == len(ids):
+                raw, at = ids.tobytes(), 0
+                for w, end in zip(part, (cut * 4).tolist(), strict=True):
+                    plain[w], at = raw[at:end], end
+            else:
+                plain.update(zip(part, self.one_by_one(part), strict=True))
+        other += [p for p in (".", ",") if p not in known]
+        known.update(zip(other, self.one_by_one(other), strict=True))
+        stops = {".": known["."], ",": known[","]}
+        for p in new:
+            if p not in known:
+                core = p[:-1] if p[-1] in stops else p
+                known[p] = plain[core.lower()] + (stops[p[-1]] if core is not p else b"")
+
+    def one_by_one(self, words: list[str]) -> list[bytes]:
+        got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        return [np.array(e.ids, "<u4").tobytes() for e in got]
+
     def batch(self, texts: list[str | None], end_id: int | None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with ``end_id`` after them."""
         cache = self.cache
         cache.age()
         split = [t.split(" ") if any(c in t for c in KEPT) else t.split() for t in (x or "" for x in texts)]
-        new = cache.missing(set().union(*split)) if split else []
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                cache.young[w] = b"".join(i.to_bytes(4, "little") for i in e.ids)
+        self.learn(cache.missing(set().union(*split)) if split else [])
         get, tail = cache.young.__getitem__, b"" if end_id is None else end_id.to_bytes(4, "little")
         return [b"".join(map(get, s)) + tail for s in split]
 
