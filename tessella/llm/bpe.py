@@ -163,7 +163,7 @@ class RankArrayBpe:
         if text.endswith(" ") or any(" " + s in text for s in spaces):
             return self.cut.findall(text)
         head, *rest = text.split(" ")
-        return [head, *[" " + p for p in rest]]
+        return [head] * bool(head) + [" " + p for p in rest]
 
     def cut_piece(self, p: str) -> list[str]:
         """The pattern's words of a piece; letters with at most a full stop or comma need no search."""
