@@ -114,7 +114,7 @@ def sentence(docs: DataFrame, target: int = 128, most: int = 256, overlap: int =
                 names=[key, "piece", "chunk_text", "token_count"],
             )
 
-    return docs.select(F.col(key).cast("long"), split(F.col(text))).mapInArrow(run, f"{key} long, piece int, chunk_text string, token_count int")
+    return docs.select(F.col(key).cast("long"), split(F.col(text)).alias("_s")).mapInArrow(run, f"{key} long, piece int, chunk_text string, token_count int")
 
 
 def adaptive(docs: DataFrame, target: int = 256, most: int = 384, cohesion: float = 0.15, key: str = "doc_id", text: str = "text") -> DataFrame:
