@@ -24,12 +24,17 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def postings(chunks: DataFrame, fields: dict[str, str], key: str = "chunk_id", split=tokens) -> DataFrame:
-    """(field, term, key, tf, dl, positions) of each analysed field."""
+def postings(chunks: DataFrame, fields: dict[str, str], key: str = "chunk_id", split=tokens, wanted: DataFrame | None = None) -> DataFrame:
+    """(field, term, key, tf, dl, positions) of each analysed field; of the terms in ``wanted`` only, if given.
+
+    Unwanted terms go before anything is shuffled.
+    """
 
     def one(name: str, column: str) -> DataFrame:
         toks = chunks.select(key, split(F.col(column)).alias("_t"))
         at = toks.select(key, F.size("_t").alias("dl"), F.posexplode("_t").alias("pos", "term"))
+        if wanted is not None:
+            at = at.join(wanted, "term", "left_semi")
         return at.groupBy("term", key).agg(
             F.count("*").alias("tf"), F.first("dl").alias("dl"), F.sort_array(F.collect_list("pos")).alias("positions")
         ).select(F.lit(name).alias("field"), "term", key, "tf", "dl", "positions")
@@ -68,7 +73,7 @@ def bm25(
     terms = queries.select("query_id", F.explode(split(F.col("query"))).alias("term"))
     asked = terms.groupBy("query_id", "term").agg(F.count("*").alias("times")) if repeat_terms else terms.distinct().withColumn("times", F.lit(1))
     wanted = small(asked.select("term").distinct())
-    found = postings(chunks, fields, key, split).drop("positions").join(wanted, "term")
+    found = postings(chunks, fields, key, split, wanted).drop("positions")
     df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     weight = F.create_map(*[F.lit(x) for f in fields for x in (f, float(weights.get(f, 1.0)))])
     stats = F.broadcast(field_stats(chunks, fields, split))  # one row for each field
@@ -81,8 +86,9 @@ def bm25(
 
 def phrase(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", field: str = "chunk_text") -> DataFrame:
     """(query_id, key, hits): places where the two words of each query stand side by side."""
-    p = postings(chunks, {"text": field}, key).select(key, "term", "positions")
     two = queries.select("query_id", tokens(F.col("query")).alias("t")).where(F.size("t") == 2)
+    wanted = small(two.select(F.explode("t").alias("term")).distinct())
+    p = postings(chunks, {"text": field}, key, wanted=wanted).select(key, "term", "positions")
     first = p.join(two.select("query_id", F.col("t")[0].alias("term"), F.col("t")[1].alias("second")), "term")
     second = p.select(key, F.col("term").alias("second"), F.col("positions").alias("after"))
     hits = F.size(F.array_intersect(F.transform("positions", lambda x: x + 1), F.col("after")))
