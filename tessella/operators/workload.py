@@ -142,6 +142,26 @@ def evaluate(contexts: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
+def set_coverage(contexts: DataFrame, families: DataFrame) -> DataFrame:
+    """(query_id, coverage): share of a query's (query_id, family, chunk_id) families that are chosen as a whole."""
+    chosen = contexts.select("query_id", F.explode("selected").alias("chunk_id"), F.lit(1).alias("in"))
+    rows = families.join(chosen, ["query_id", "chunk_id"], "left")
+    whole = rows.groupBy("query_id", "family").agg((F.count("in") == F.count("*")).alias("all_in"))
+    got = whole.groupBy("query_id").agg(share(F.count_if("all_in"), F.count("*")).alias("c"))
+    return contexts.select("query_id").join(got, "query_id", "left").select("query_id", F.round(F.coalesce("c", F.lit(1.0)), 6).alias("coverage"))
+
+
+def summarize(evals: DataFrame) -> DataFrame:
+    """One row: means over the values that are there, their numbers, and the lower median of recall."""
+    return evals.agg(
+        F.count("*").alias("n"),
+        F.round(F.avg("recall"), 6).alias("mean_recall"),
+        F.round(F.avg("precision"), 6).alias("mean_precision"),
+        F.count("precision").alias("n_precision"),
+        lower_median("recall").alias("median_recall"),
+    )
+
+
 def faithfulness(answer: Column, context: Column) -> Column:
     """Share of the answer's sentences with at least half of their distinct terms in the context."""
     ctx = F.array_distinct(tokens(context))

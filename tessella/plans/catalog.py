@@ -259,6 +259,12 @@ def rerank_density(spark, d):
     return retrieval.rerank(items(spark, d), "density", 0.01, 1.0)
 
 
+@query
+def rerank_fusion(spark, d):
+    rows = hybrid_local_rerank(spark, d).select("query_id", "rank", "chunk_id", F.round(F.col("lexical") + 2.0 * F.coalesce("dense", F.lit(0.0)), 6).alias("score"))
+    return retrieval.ranked(rows.withColumnRenamed("rank", "_prior"), 10, "_prior").select("query_id", "rank", "chunk_id", "score")
+
+
 # contexts
 
 
@@ -361,6 +367,25 @@ def eval_recall_precision(spark, d):
     return workload.evaluate(built(spark, d, "raw_topk"), gold(spark, d))
 
 
+@query
+def eval_set_coverage(spark, d):
+    families = gold(spark, d).select("query_id", F.substring_index("chunk_id", ":", 1).alias("family"), "chunk_id")
+    return workload.set_coverage(built(spark, d, "raw_topk", 512), families)
+
+
+@query
+def eval_summary(spark, d):
+    return workload.summarize(workload.evaluate(built(spark, d, "raw_topk"), gold(spark, d)))
+
+
+@query
+def embed_hashing(spark, d):
+    from ..operators import embedding
+
+    got = embedding.embed(parts(spark, d), embedding.hashing, "chunk_text")
+    return got.select("chunk_id", F.transform("embedding", lambda x: F.round(x, 6)).alias("embedding"))
+
+
 @query
 def eval_answer_recall(spark, d):
     got = context.context_text(built(spark, d, "raw_topk"), chunks(spark, d)).join(passages(spark, d), "query_id")

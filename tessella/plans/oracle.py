@@ -188,6 +188,9 @@ SELECT *, CASE WHEN n_queries < 20 THEN 'sample_too_small' WHEN vocab_rate >= 0.
     "rw_vocab_bidirectional": expand(True),
     "eval_recall_precision": f"WITH {RAW}, gd AS (SELECT query_id, list(chunk_id) AS gold FROM it WHERE grounding >= 0.9 GROUP BY 1), b AS (SELECT query_id, ids, coalesce(gold, []) AS gold FROM sel LEFT JOIN gd USING (query_id)), h AS (SELECT *, len(list_filter(gold, lambda x: list_contains(ids, x))) AS n FROM b) SELECT query_id, round(CASE WHEN len(gold) = 0 THEN 1.0 ELSE n / len(gold) END, 6) AS recall, round(CASE WHEN len(gold) > 0 THEN CASE WHEN len(ids) = 0 THEN 0.0 ELSE n / len(ids) END END, 6) AS precision FROM h",
     "eval_answer_recall": rf"WITH {RAW}, {TEXT}, e AS (SELECT query_id, q, list_distinct({tok('context')}) AS c, list_filter(list_transform(regexp_extract_all(query, '[^.!?\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM tx JOIN qq USING (query_id)), g AS (SELECT *, list_transform(ss, lambda s: list_distinct({tok('s')})) AS st FROM e) SELECT query_id, round(len(list_filter(q, lambda x: list_contains(c, x))) / len(q), 6) AS answer_recall, round(CASE WHEN len(st) > 0 THEN len(list_filter(st, lambda t: len(list_filter(t, lambda x: list_contains(c, x))) >= ceil(len(t) / 2))) / len(st) END, 6) AS faithfulness FROM g",
+    "eval_set_coverage": f"WITH {contexts('raw_topk', 512)}, fm AS (SELECT query_id, split_part(chunk_id, ':', 1) AS family, bool_and(list_contains(ids, chunk_id)) AS whole FROM it JOIN sel USING (query_id) WHERE grounding >= 0.9 GROUP BY 1, 2), c AS (SELECT query_id, count(*) FILTER (whole) / count(*) AS c FROM fm GROUP BY 1) SELECT query_id, round(coalesce(c, 1.0), 6) AS coverage FROM sel LEFT JOIN c USING (query_id)",
+    "eval_summary": f"WITH {RAW}, gd AS (SELECT query_id, list(chunk_id) AS gold FROM it WHERE grounding >= 0.9 GROUP BY 1), b AS (SELECT query_id, ids, coalesce(gold, []) AS gold FROM sel LEFT JOIN gd USING (query_id)), h AS (SELECT *, len(list_filter(gold, lambda x: list_contains(ids, x))) AS n FROM b), e AS (SELECT round(CASE WHEN len(gold) = 0 THEN 1.0 ELSE n / len(gold) END, 6) AS recall, round(CASE WHEN len(gold) > 0 THEN n / len(ids) END, 6) AS precision FROM h) SELECT count(*) AS n, round(avg(recall), 6) AS mean_recall, round(avg(precision), 6) AS mean_precision, count(precision) AS n_precision, quantile_disc(recall, 0.5) AS median_recall FROM e",
+    "rerank_fusion": f"WITH {LEX}, pl AS {top('sc', 50, 'chunk_id', 'chunk_id, score')}, dn AS (SELECT query_id, chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS dense FROM pl JOIN ch USING (chunk_id) JOIN embeddings v ON v.vec_id = doc_id JOIN embeddings q ON q.vec_id = query_id), r AS (SELECT query_id, chunk_id, round(pl.score + 2.0 * coalesce(dense, 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY dense IS NULL, dense DESC, rank) AS prior FROM pl LEFT JOIN dn USING (query_id, chunk_id)), f AS (SELECT * FROM r WHERE prior <= 20) SELECT * FROM {top('f', 10, 'prior', 'chunk_id, score')}",
     "recall_at_k": f"WITH {IT}, h AS (SELECT query_id, min(rank) AS f FROM it WHERE grounding >= 0.9 GROUP BY 1), r AS (SELECT item_id, f FROM benchmark LEFT JOIN h ON query_id = item_id) SELECT count(*) AS n, round(avg((coalesce(f, 1000000) <= 1)::INT), 6) AS r_at_1, round(avg((coalesce(f, 1000000) <= 3)::INT), 6) AS r_at_3, round(avg(coalesce(1 / f, 0)), 6) AS mrr FROM r",
     "prf_terms": f"WITH {IT}, p AS (SELECT query_id, term, count(*) AS n FROM (SELECT query_id, q, unnest(t) AS term FROM it) WHERE NOT list_contains(q, term) AND length(term) >= 3 AND term NOT IN ({STOPS}) GROUP BY 1, 2) SELECT query_id, term, n, nth FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, term) AS nth FROM p) WHERE nth <= 5",
     "drop_low_idf": f"WITH {CH}, {CT}, {VOCAB}, q AS (SELECT item_id AS query_id, list_distinct({tok('text')}) AS d, {tok('text')} AS t FROM benchmark), u AS (SELECT query_id, term, min(pos) AS pos FROM (SELECT query_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM q) GROUP BY 1, 2) SELECT query_id, string_agg(term, ' ' ORDER BY pos) AS query FROM u LEFT JOIN vo USING (term) WHERE coalesce(df, 0) <= ceil((SELECT count(*) FROM ch) * 0.2) OR length(term) < 3 GROUP BY 1",
