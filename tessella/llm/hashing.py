@@ -110,7 +110,7 @@ class SortedHash:
         h = mix(keys.astype(U))
         self.order = np.argsort(h, kind="stable")
         self.hashes = h[self.order]
-        bits = max(1, int(len(keys)).bit_length())
+        bits = max(1, int(len(keys)).bit_length() - 1)
         self.shift = U(64 - bits)
         self.first = np.searchsorted(self.hashes >> self.shift, np.arange(2**bits + 1, dtype=U)).astype(np.int32)
         self.most = int(np.diff(self.first).max(initial=0))

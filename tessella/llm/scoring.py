@@ -16,6 +16,7 @@ fits.
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 
 import numpy as np
@@ -98,6 +99,11 @@ class Level:
     below: np.ndarray
 
 
+def tight(x: np.ndarray) -> np.ndarray:
+    """``x`` in four bytes each where its values fit."""
+    return x.astype(np.int32) if x.max(initial=0) < 2**31 else x
+
+
 class Trie:
     """Counts of bytes after contexts, one level for each context length."""
 
@@ -113,7 +119,14 @@ class Trie:
             grams, contexts = SortedHash(k), SortedHash(ctx[first])
             put = contexts.order
             self.levels.append(
-                Level(grams, c[grams.order], contexts, sums(c)[put], np.diff(np.append(first, len(k)))[put], sums(shorter)[put])
+                Level(
+                    grams,
+                    tight(c[grams.order]),
+                    contexts,
+                    tight(sums(c)[put]),
+                    tight(np.diff(np.append(first, len(k)))[put]),
+                    tight(sums(shorter)[put]),
+                )
             )
             grams.order = contexts.order = None
 
@@ -154,6 +167,18 @@ class Trie:
         return np.concatenate(out) if out else np.empty(0)
 
 
+#: The trie of the broadcast at hand, grown once in each worker from its grams, which are far smaller.
+_GROWN: dict[str, Trie] = {}
+
+
+def grown(sent) -> Trie:
+    tag, keys, counts, order = sent.value
+    if tag not in _GROWN:
+        _GROWN.clear()
+        _GROWN[tag] = Trie(keys, counts.astype(np.int64), order)
+    return _GROWN[tag]
+
+
 def raw(texts: pa.ChunkedArray) -> list[bytes]:
     return [b"" if t is None else t.encode() for t in texts.to_pylist()]
 
@@ -275,7 +300,7 @@ def score_documents(
     keys, counts = counted(
         [np.frombuffer(bytes(r["keys"]), "<u8") for r in got], [unpack(bytes(r["counts"])) for r in got]
     )
-    trie = spark.sparkContext.broadcast(Trie(keys, counts, order))
+    sent = spark.sparkContext.broadcast((uuid.uuid4().hex, keys, tight(counts), order))
     bottom = np.log10(tokens + types + 1)
 
     def score(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -295,7 +320,7 @@ def score_documents(
             k[span] += np.bincount(doc, there[at], len(part)).astype(np.int64)
             base[span] += np.bincount(doc, gain[at], len(part))
         return pa.table(
-            [left["doc_id"], [not t for t in train], n, k, np.full(len(n), tokens), base - n * bottom, trie.value.score(texts)],
+            [left["doc_id"], [not t for t in train], n, k, np.full(len(n), tokens), base - n * bottom, grown(sent).score(texts)],
             schema=out,
         )
 
