@@ -14,13 +14,36 @@ from pyspark.sql import functions as F
 
 LOCAL, LABEL = r"[A-Za-z0-9._%+-]", r"[A-Za-z0-9-]"
 ACCEPT, NEAR = 0.6, 40
+#: Total lengths of IBANs by country, as registered.
+IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
+    "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+    "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+    "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()
+
+
+def iban_pattern() -> str:
+    """One alternative for each registered length, so that a match can't run into the next word.
+
+    Countries without a registered length take up to 30 characters after the check digits.
+    """
+    of: dict[int, list[str]] = {}
+    for x in IBAN_LENGTHS:
+        of.setdefault(int(x[2:]), []).append(x[:2])
+    body = r"[0-9]{2}(?:\x20?[A-Z0-9])"
+    known = "|".join(rf"(?:{'|'.join(c)}){body}{{{n - 4}}}+" for n, c in sorted(of.items()))
+    other = rf"(?!{'|'.join(x[:2] for x in IBAN_LENGTHS)})[A-Z]{{2}}{body}{{11,30}}+"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{known}|{other})(?![A-Za-z0-9])"
+
+
 #: kind -> (pattern, a cheap test of the whole text, score without context, context words)
 KINDS: dict[str, tuple[str, str, float, str]] = {
     "email": (rf"(?:\G|(?<!{LOCAL})){LOCAL}++@{LABEL}++(?:\.{LABEL}++)++", "@", 0.9, r"mail|contact|write|courriel|correo|kontakt"),
     "ip": (r"(?:\G|(?<![0-9]))[0-9]++(?:\.[0-9]++){3}+", "digit", 0.7, r"\bip\b|address|server|host|log"),
     "card": (r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?[0-9]){13,18}+(?![\x20-]?[0-9])", "digit", 0.8, r"card|visa|credit|carte|karte|tarjeta"),
     "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+", 0.7, r"phone|call|tel|mobil|fax"),
-    "iban": (r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])", "digit", 0.7, r"iban|account|bank|konto|compte|cuenta"),
+    "iban": (iban_pattern(), "digit", 0.7, r"iban|account|bank|konto|compte|cuenta"),
     "ssn": (r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", "digit", 0.4, r"ssn|social security"),
 }
 BASE = ("email", "ip", "card", "phone")

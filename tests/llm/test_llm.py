@@ -130,6 +130,17 @@ def test_pii(spark, odd, nothing):
     assert pii.redact(odd).count() == len(ODD) and pii.redact(nothing).columns == nothing.columns
 
 
+def test_iban_before_words_and_numbers(spark):
+    ibans = ["DE89370400440532013000", "GB82 WEST 1234 5698 7654 32", "NO9386011117947", "MT84MALT011000012345MTLCAST001S"]
+    after = ["", " Bitte", " The next", " 2024", " BIC COBADEFF", "."]
+    rows = [(i * 10 + j, f"IBAN {x}{y}") for i, x in enumerate(ibans) for j, y in enumerate(after)]
+    rows += [(100, "IBAN DE89370400440532013001 Bitte"), (101, "IBAN DE8937040044053201300 2024"), (102, "IBAN DE893704004405320130007")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(df).collect()}
+    assert got == {i: f"iban:5:{5 + len(ibans[i // 10])}" if i < 100 else "" for i, _ in rows}
+    assert pii.redact(df.where("doc_id = 1")).first()["text"] == "IBAN [IBAN] Bitte"
+
+
 def test_pii_stays_linear(spark):
     texts = ["a" * 300_000, "1" * 300_000, "a@" + "b." * 100_000, "+1" + "-" * 200_000, "1.2." * 100_000]
     assert pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
