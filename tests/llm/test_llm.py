@@ -230,6 +230,22 @@ def test_lm(spark, docs, texts, nodes, monkeypatch):
         assert abs(model(t.encode()) - got[i]["score"]) < 1e-6
 
 
+def test_lm_order_is_fixed(spark):
+    """More than three million grams of order 5; and no document to learn from."""
+    rng = np.random.default_rng(3)
+    rows = [(i, bytes(rng.integers(97, 123, 100_000, dtype=np.uint8)).decode()) for i in range(45)]
+    train = [t.encode() for i, t in rows if brute.crc_mod(i, 7) != 2]
+    keys, counts = scoring.gram_counts(train, 5)
+    assert len(keys) > 3_000_000
+    whole = scoring.Trie(keys, counts, 5)
+    got = {r["doc_id"]: r["score"] for r in scoring.score_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    out = [i for i, _ in rows if brute.crc_mod(i, 7) == 2]
+    for i in [*out[:2], next(i for i, _ in rows if i not in out)]:
+        assert abs(got[i] - whole.score([rows[i][1].encode()])[0]) < 1e-6 * abs(got[i])
+    none = scoring.score_documents(spark.createDataFrame([(None, "abc")], "doc_id long, text string")).first()
+    assert none["held_out"] and abs(none["score"] - 4 * np.log10(1 / 256)) < 1e-9
+
+
 def test_lm_odd(odd, nothing):
     rows = scoring.score_documents(odd).collect()
     assert len(rows) == len(ODD) and all(np.isfinite([r["score"], r["base_score"]]).all() for r in rows)
