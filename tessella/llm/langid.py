@@ -144,7 +144,7 @@ class Models:
 
     def calibrate(self, held: list[tuple[str, str]]) -> None:
         """Choose how sharply gaps of cross-entropy turn into confidence, and the rejection bar."""
-        held = [x for x in held if characters(x[1])[1]][:2000]
+        held = [x for x in held if characters(x[1])[1]]
         if not held:
             return
         h, n, _ = self.entropy([t for _, t in held])
@@ -179,16 +179,19 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
 
     A hash of the id picks each language's rows so that their texts hold about
     ``PER_LANGUAGE`` characters, ``IN_ALL`` in all languages: the bound of what the driver sees.
+    The row of the least hash is always picked, so that every language has one.
     """
     rows = docs.select(
         F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang")
     ).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold("doc_id", HELD_OUT[0]) != HELD_OUT[1]))
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n")).collect()}
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
+    sizes = {r["lang"]: r for r in rows.groupBy("lang").agg(F.sum(F.length("text")).alias("n"), F.min(place).alias("least")).collect()}
     most = min(PER_LANGUAGE, IN_ALL // max(len(sizes), 1))
     share = F.lit(0.0)
-    for g, n in sizes.items():
-        share = F.when(F.col("lang") == g, min(1.0, most / max(n, 1))).otherwise(share)
-    picked = rows.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < share * (1 << 20)).collect()
+    for g, r in sizes.items():
+        below = max(min(1.0, most / max(r["n"], 1)) * (1 << 20), r["least"] + 1.0)
+        share = F.when(F.col("lang") == g, below).otherwise(share)
+    picked = rows.where(place < share).collect()
     samples: dict[str, list[str]] = {}
     for r in sorted((r["doc_id"], r["lang"], r["text"]) for r in picked):
         samples.setdefault(r[1], []).append(r[2])

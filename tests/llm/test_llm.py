@@ -265,6 +265,17 @@ def test_language(docs, odd, nothing):
     assert langid.identify(nothing, none).count() == 0
 
 
+def test_language_learns_from_all(spark, monkeypatch):
+    held = []
+    monkeypatch.setattr(langid.Models, "entropy", lambda self, t: held.extend(t) or (np.ones((len(t), 2)), np.full(len(t), 9), np.ones(len(t), bool)))
+    langid.Models({g: [f"{g} {'abcdefgh'[i % 8]}" for i in range(6000)] for g in ("aa", "bb")})
+    assert Counter(t[:2] for t in held) == {"aa": 1200, "bb": 1200}
+    monkeypatch.undo()
+    monkeypatch.setattr(langid, "PER_LANGUAGE", 1)
+    rows = [(i, "ein Satz " * 9, "de") for i in range(20)] + [(100 + i, "a sentence " * 9, "en") for i in range(20)]
+    assert langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string")).languages == ["de", "en"]
+
+
 def test_language_probabilities_sum_to_one():
     m = langid.Models({"a": ["abab abba ba"] * 3, "b": ["bcbc cbcb"] * 3})
     for context in ("ab ", "zzz", " a b"[:3]):
