@@ -34,3 +34,9 @@ def test_matches_sql(spark, duck, smallest, name):
 @pytest.mark.parametrize("name", sorted(set(catalog.CATALOG) - set(oracle.SQL)))
 def test_rows_without_sql(spark, smallest, name):
     assert catalog.CATALOG[name](spark, smallest).count() > 0
+
+
+def test_headline_covers_the_engine():
+    import bench
+
+    assert len(bench.HEADLINE) == 16 and set(bench.HEADLINE) <= set(__import__("__spark_entry__").queries())
