@@ -39,9 +39,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder; survives the loss of executors."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    """Cut lineage through the shared checkpoint folder; survives the loss of executors.
+
+    A checkpoint carries on its plan's estimates of size, which joins multiply: in a loop they get
+    as many digits as it has rounds, to a power.  The rows are taken up without them; adaptive
+    execution measures what it needs.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    held = df.checkpoint(eager)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(held.queryExecution().toRdd(), held.schema(), False), spark)
 
 
 def fold(doc_id: str | Column, modulus: int) -> Column:

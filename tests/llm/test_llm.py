@@ -164,16 +164,47 @@ def test_near_duplicates_odd(spark, odd):
     assert neardup.classes(odd).count() == len(ODD)
 
 
-def test_near_duplicates_in_slices(spark, monkeypatch):
+@pytest.mark.parametrize(("group", "size"), [(4, 1 << 20), (1000, 3000)])
+def test_near_duplicates_in_slices(spark, monkeypatch, group, size):
     """A chain of texts where each is close to the next ones only, and groups cut into small slices."""
-    monkeypatch.setattr(neardup, "GROUP", 4)
+    monkeypatch.setattr(neardup, "GROUP", group)
+    monkeypatch.setattr(neardup, "GROUP_BYTES", size)
     monkeypatch.setattr(neardup, "REGION", 4)
     words = [f"w{i}" for i in range(400)]
     rows = [(i, " ".join(words[6 * i : 6 * i + 100])) for i in range(40)] + [(100 + i, " ".join([*words[:90], f"z{i}"])) for i in range(30)]
+    # a boilerplate of three quarters: signatures propose what the sets refuse
+    rows += [(200 + i, " ".join([*(f"p{k}" for k in range(100)), *(f"q{i}-{k}" for k in range(14 + i % 4))])) for i in range(12)]
     got = neardup.classes(spark.createDataFrame(rows, "doc_id long, text string"), 4).collect()
     assert sorted(map(tuple, got)) == sorted(brute.components(rows, 4))
 
 
+def test_regions_ascend():
+    """Deepest prefixes first; a pair is compared once, and not at all inside a component."""
+    asked = []
+    close = {(0, 1), (3, 4), (1, 3)}
+
+    def similar(i, others):
+        asked.extend((min(i, j), max(i, j)) for j in others.tolist())
+        return np.array([(min(i, j), max(i, j)) in close for j in others])
+
+    made = neardup.ascend(np.array([0, 8, 5, 4, 6]), similar)
+    root = list(range(5))
+    for i, j in made:
+        root = [root[i] if r == root[j] else r for r in root]
+    assert len(made) == 3 and len({root[i] for i in (0, 1, 3, 4)}) == 1 and root[2] not in root[:2]
+    later = asked[4:]  # the first four ask whether one member is close to all
+    assert later[0] == (0, 1) and later[1] == (3, 4) and len(later) == len(set(later))
+
+
+def test_one_row_of_a_class_stays(spark, nothing):
+    a, b, c = "a b c d e f", "x y z w v u", "k l m n o p"
+    rows = [(2, a, "s"), (5, a, "s"), (5, b, "t"), (9, c, "s"), (9, c, "s"), (None, c, "s"), (None, "n o i d s x", "s"), (None, "n o i d s x", "s"), (7, None, "s"), (8, "", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(3).checkpoint()
+    got = Counter(tuple(r) for r in neardup.filter_documents(df).collect())
+    assert got == Counter([rows[0], rows[2], rows[3], rows[6], rows[8], rows[9]])
+    assert neardup.filter_documents(nothing).count() == 0 and neardup.filter_documents(nothing).columns == nothing.columns
+
+
 def test_shingles():
     rows = ["", "a", "a b", "A B c d e", "a b c d a b c d", "x" * 600_000 + " y z"]
     assert [len(s) for s in shingles_of([r.encode() for r in rows], 4)] == [len(brute.shingles(r, 4)) for r in rows]
