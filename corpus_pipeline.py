@@ -25,13 +25,8 @@ def keep_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of the smallest id of each class of near-duplicates: five words, 0.8.
-
-    Documents without an id stay.
-    """
-    kept = neardup.classes(docs, words=5, threshold=(80, 100)).where("kept and doc_id is not null").select("doc_id").distinct()
-    with_id = docs.where("doc_id is not null").join(kept, "doc_id", "left_semi").select(*docs.columns)
-    return with_id.union(docs.where("doc_id is null"))
+    """One document of each class of near-duplicates, that of the smallest id: five words, 0.8."""
+    return neardup.filter_documents(docs, words=5, threshold=(80, 100))
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
