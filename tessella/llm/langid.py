@@ -37,14 +37,16 @@ def letters() -> np.ndarray:
 
 
 def characters(text: str) -> tuple[np.ndarray, bool]:
-    """Lower-cased letters as 16-bit integers with one space for each run of others; any letter?"""
+    """Lower-cased letters as 16-bit integers with one space for each run of others; any letter?
+
+    Letters beyond 16 bits take the 2048 places that no character has, by their lower bits.
+    """
     cp = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")
     high = cp > 0xFFFF
-    cp = np.where(high, 0xFFFF, cp)
-    is_letter = letters()[cp]
+    is_letter = letters()[np.where(high, 0xFFFF, cp)]
     if high.any():
-        is_letter[high] = [chr(c).isalpha() for c in np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), "<u4")[high]]
-    cp = np.where(is_letter, cp, SPACE)
+        is_letter[high] = [chr(c).isalpha() for c in cp[high]]
+    cp = np.where(is_letter, np.where(high, 0xD800 + cp % 2048, cp), SPACE)
     keep = is_letter | np.append(True, is_letter[:-1])[: len(cp)]
     return np.append(cp[keep], SPACE).astype(U), bool(is_letter.any())
 
