@@ -4,13 +4,16 @@ Every document gives its whole 2048-token windows at once.  Its rest goes to the
 context tier that holds it.  A tier opens one sequence for each rest in it; the gap is filled
 from the shorter tiers, best fit first, and a last rest is cut where nothing fits.  What stays
 open when a partition ends is cut into sequences whose sizes are powers of two, which take no
-padding.  Sequences of a tier are dealt to step groups of equal token counts.
+padding.  Sequences of all tiers are dealt to step groups of one token count: each goes where it
+leaves the least room, and as sizes are powers of two, all groups of a partition but the last
+are full.
 """
 
 from __future__ import annotations
 
+import json
 import re
-from bisect import bisect_right, insort
+from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -28,7 +31,8 @@ TIERS = (256, 512, 1024, WINDOW)
 END_ID = 1
 #: Tokens of a step group, and rests that a packing round holds in memory.
 STEP_TOKENS, ROUND = 16 * WINDOW, 4096
-CACHE_WORDS = 600_000
+#: Words in each generation of the cache: a worker keeps about 60 MB of them.
+CACHE_WORDS = 200_000
 LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
 #: Characters that split() drops but the tokenizer keeps.
 KEPT = "\x1c\x1d\x1e\x1f"
@@ -43,6 +47,11 @@ class WordTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
+        spec = json.loads(self.tokenizer.to_str())
+        rules = spec.get("normalizer") or {}
+        kinds = [n["type"] for n in rules.get("normalizers", [rules]) if n]
+        if spec["model"].get("end_of_word_suffix") != "</w>" or "Lowercase" not in kinds:
+            raise ValueError("words can be cached only for a lower-casing tokenizer whose tokens mark the ends of words")
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -118,8 +127,8 @@ class Rest:
 
 class Packer:
     def __init__(self, first_id: int):
-        self.next_id = first_id
-        self.in_tier = dict.fromkeys([2**k for k in range(WINDOW.bit_length())], 0)
+        self.next_id = self.next_group = first_id
+        self.groups: list[list[int]] = []  # (room, number) of the open step groups, by room
         self.pools: list[list[tuple[int, int, Rest]]] = [[] for _ in TIERS]
         self.held = self.serial = 0
         self.out: list[tuple] = []
@@ -197,8 +206,13 @@ class Packer:
 
     def emit(self, seq: list[Rest]) -> None:
         size = sum(map(len, seq))
-        group = self.in_tier[size] * size // STEP_TOKENS
-        self.in_tier[size] += 1
+        k = bisect_left(self.groups, [size, 0])
+        if k == len(self.groups):
+            self.groups.append([STEP_TOKENS, self.next_group])
+            self.next_group += 1
+        room, group = self.groups.pop(k)
+        if room > size:
+            insort(self.groups, [room - size, group])
         at = 0
         for r in seq:
             self.out.append((r.doc, r.start, len(r), r.ids, r.total, self.next_id, at, size, group))
@@ -217,11 +231,13 @@ def pack_documents(
     """One row for each piece of each document of ``docs`` in its training sequence.
 
     ``ids``: the piece's ids, binary, little-endian unsigned 32-bit; ``tier``: the sequence's
-    size; ``step_group``: groups of equal token counts among a partition's sequences of a tier.
+    size; ``step_group``: groups of ``STEP_TOKENS`` tokens, of which a partition leaves one short
+    at most.  Numbers of sequences and groups hold the partition in their upper bits, so they
+    are unique in the whole result.
     A null or empty text is its end id alone.  Repeated rows and null ids are packed as
     documents of their own.  Other columns are ignored.  An empty table gives no rows.
     Partitions pack by themselves, so nothing is shuffled and a lost task is packed anew as a
-    whole; sequence ids hold the partition in their upper bits.
+    whole.
     """
     spark = prepare(docs.sparkSession)
     schema = spark.createDataFrame([], SCHEMA).schema
