@@ -2,8 +2,9 @@
 
 A pair is a labelled good and a labelled bad document; the model says that the good one wins
 with the logistic of the difference of two linear scores of measured features.  The threshold
-is a quantile of the training documents' scores; a slope maps scores to 0..1 so that the
-threshold falls on ``ACCEPT``.
+is a quantile of the training documents' scores: a given one, or the one below which the share of
+the bad exceeds that of the good by most.  A slope maps scores to 0..1 so that the threshold
+falls on ``ACCEPT``.
 """
 
 from __future__ import annotations
@@ -12,15 +13,17 @@ from dataclasses import dataclass
 from operator import eq
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, labelled_sample, logistic, map_text
+from .common import fold, labelled_sample, logistic, map_text, prepare
 
 ACCEPT = 0.7
 #: Labelled documents of each class to learn from, and preference pairs drawn from them.
 PER_CLASS, PAIRS = 4000, 40_000
+#: Deviations at which a feature is clipped.
+CLIP = 8
 HELD_OUT = (4, 2)
 
 _CLASSES = np.zeros((256, 9))
@@ -58,18 +61,24 @@ class Ranker:
     weights: np.ndarray
     threshold: float
     slope: float
+    quantile: float | None = None
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return ((x - self.mean) / self.scale) @ self.weights
+        return np.clip((x - self.mean) / self.scale, -CLIP, CLIP) @ self.weights
+
+    def texts(self, texts: list[str | None]) -> np.ndarray:
+        return self.score(np.array([features(t) for t in texts]).reshape(len(texts), len(self.mean)))
 
     def score(self, x: np.ndarray) -> np.ndarray:
         z = self.slope * (self.raw(x) - self.threshold) + np.log(ACCEPT / (1 - ACCEPT))
         return 1 / (1 + np.exp(-np.clip(z, -500, 500)))
 
 
-def fit(x: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> Ranker:
+def fit(x: np.ndarray, y: np.ndarray, sizes: dict[int, int], quantile: float | None = None) -> Ranker:
     """Learn from features and labels of sampled documents of classes of the given sizes.
 
+    ``quantile``: the share of all labelled documents, by their classes' sizes, that score below
+    the threshold; None takes the one that parts the classes best.
     With labels of one class only, or none, every document gets one score: 1 where only good
     ones are known, 0 where only bad ones are, 0.5 without labels.
     """
@@ -79,7 +88,7 @@ def fit(x: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> Ranker:
         z = np.log((p + 1e-9) / (1 - p + 1e-9)) - np.log(ACCEPT / (1 - ACCEPT))
         return Ranker(np.zeros(k), np.ones(k), np.zeros(k), -z, 1.0)
     mean, scale = x.mean(0), np.maximum(x.std(0), 1e-9)
-    z = np.clip((x - mean) / scale, -8, 8)
+    z = np.clip((x - mean) / scale, -CLIP, CLIP)
     rng = np.random.default_rng(0)
     good, bad = rng.choice(np.flatnonzero(y == 1), PAIRS), rng.choice(np.flatnonzero(y == 0), PAIRS)
     won = z[good] - z[bad]
@@ -89,13 +98,19 @@ def fit(x: np.ndarray, y: np.ndarray, sizes: dict[int, int]) -> Ranker:
     order = np.argsort(s, kind="stable")
     lost = np.cumsum(weight[order] * (y[order] == 1)) / sizes[1]
     caught = np.cumsum(weight[order] * (y[order] == 0)) / sizes[0]
-    at = int(np.argmax(caught - lost))
+    below = np.cumsum(weight[order]) / weight.sum()
+    at = int(np.argmax(caught - lost)) if quantile is None else max(int(np.searchsorted(below, quantile, "right")) - 1, 0)
     threshold = (s[order[at]] + s[order[min(at + 1, len(s) - 1)]]) / 2
     slope = max(abs(logistic((s - threshold)[:, None], y.astype(float), weight / weight.mean())[0]), 1e-3)
-    return Ranker(mean, scale, w, float(threshold), float(slope))
+    return Ranker(mean, scale, w, float(threshold), float(slope), float(below[at]))
+
 
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", quantile: float | None = None) -> Ranker:
+    """The ranking learned from about ``PER_CLASS`` labelled documents of each class.
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Ranker:
+    Rows without an id or a label and held-out ids play no part; null texts count as empty;
+    several labels of an id count as their largest.
+    """
     picked, sizes = labelled_sample(docs, labels, "quality", HELD_OUT, PER_CLASS, id_col, text_col)
     made = map_text(
         picked.select("doc_id", F.concat(F.col("y").cast("string"), F.coalesce("text", F.lit(""))).alias("text")),
@@ -103,7 +118,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
         "doc_id long, y int, x array<double>",
     ).orderBy("doc_id", "y")
     rows = made.collect()
-    return fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), sizes)
+    return fit(np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows]), sizes, quantile)
 
 
 def score_documents(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -114,7 +129,7 @@ def score_documents(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text
     """
     out = map_text(
         docs,
-        lambda _, texts: {"score": model.score(np.array([features(t) for t in texts]).reshape(len(texts), -1))},
+        lambda _, texts: {"score": model.texts(texts)},
         "doc_id long, score double",
         id_col,
         text_col,
@@ -124,9 +139,15 @@ def score_documents(docs: DataFrame, model: Ranker, id_col: str = "doc_id", text
 
 
 def filter_documents(docs: DataFrame, model: Ranker, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that score ``ACCEPT`` or more, with all their columns."""
-    @F.pandas_udf("double")
-    def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(model.score(np.array([features(t) for t in texts]).reshape(len(texts), -1)))
+    """The rows of ``docs`` that score ``ACCEPT`` or more, with all their columns.
+
+    Null texts score as empty ones.  Rows are judged one by one: repeated rows stay or go
+    together; an empty table stays empty.
+    """
+    prepare(docs.sparkSession)
+
+    @F.arrow_udf("double")
+    def score(texts: pa.Array) -> pa.Array:
+        return pa.array(model.texts(texts.to_pylist()), pa.float64())
 
     return docs.where(score(F.col(text_col).cast("string")) >= ACCEPT)
