@@ -23,10 +23,10 @@ STOP_WORDS = (
 ).split()
 #: (name, measure, smallest, largest); None leaves a side open.
 RULES: list[tuple[str, str, float | None, float | None]] = [
-    ("length", "n_words", 50, 1_000_000),
+    ("length", "n_words", 50, None),
     ("word_length", "mean_word_chars", 1.5, 20),
     ("symbols", "symbol_ratio", None, 0.15),
-    ("stop_words", "n_stop_words", 2, None),
+    ("stop_words", "stop_word_ratio", 0.02, None),
     ("repeated_lines", "dup_line_ratio", None, 0.5),
     ("repeated_words", "repeat_word_ratio", None, 0.5),
 ]
@@ -43,7 +43,8 @@ def held(c: Column) -> Column:
 def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts and ratios of whole texts; columns of ``docs`` named in ``keep`` go along.
 
-    A null text counts as an empty one: all counts 0, all ratios 0.
+    A null text counts as an empty one: all counts 0, all ratios 0.  Stop words count as often as
+    they stand, in any case of letters.  Repeated rows and null ids each give a row.
     """
     t = F.col("_t")
     split = docs.select(*keep, F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_t")).select(
@@ -62,7 +63,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         "word_chars",
         "n_symbols",
         F.size("_w").alias("n_words"),
-        F.size(F.array_intersect("_w", F.array(*map(F.lit, dict.fromkeys(STOP_WORDS))))).alias("n_stop_words"),
+        F.size(F.filter(w, lambda x: F.lower(x).isin(list(dict.fromkeys(STOP_WORDS))))).alias("n_stop_words"),
         F.size("_lines").alias("n_lines"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).alias("n_dup_lines"),
         held(F.when(F.size("_w") >= 3, F.slice(window, F.lit(1), F.size("_w") - 2))).alias("_h"),
@@ -87,6 +88,7 @@ def measures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ke
         *[F.col(c).cast("long").alias(c) for c in counts],
         per("word_chars", "n_words").alias("mean_word_chars"),
         per("n_symbols", "n_words").alias("symbol_ratio"),
+        per("n_stop_words", "n_words").alias("stop_word_ratio"),
         per("n_dup_lines", "n_lines").alias("dup_line_ratio"),
         per("n_repeat_words", "n_words").alias("repeat_word_ratio"),
     )
@@ -120,7 +122,10 @@ def apply_rules(docs: DataFrame, rules=RULES, id_col: str = "doc_id", text_col:
 
 
 def filter_documents(docs: DataFrame, rules=RULES, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with all their columns."""
+    """The rows of ``docs`` that the rules keep, with all their columns.
+
+    Null and empty texts fail.  Repeated rows stay or go together; an empty table stays empty.
+    """
     whole = docs.select(F.struct(*[F.col(c) for c in docs.columns]).alias("_row"), F.lit(0).alias("_one"), F.col(text_col))
     verdict, _ = compile_rules(rules)
     base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -145,13 +150,13 @@ WITH d AS (
   SELECT d.doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
     (length(t) - length(translate(t, '#*$%&|<>', '')))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-    len(list_filter(list_distinct(w), lambda x: list_contains([STOPS], x))) AS n_stop
+    len(list_filter(w, lambda x: list_contains([STOPS], lower(x)))) AS n_stop
   FROM d LEFT JOIN rep USING (doc_id) LEFT JOIN lin USING (doc_id)
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words <= 1000000
-    AND word_chars / n_words BETWEEN 1.5 AND 20 AND n_symbols / n_words <= 0.15 AND n_stop >= 2
+  NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+    AND word_chars / n_words BETWEEN 1.5 AND 20 AND n_symbols / n_words <= 0.15 AND n_stop / n_words >= 0.02
     AND n_dup_lines / n_lines <= 0.5 AND n_repeat_words / n_words <= 0.5 AS kept
 FROM m
 """.replace("STOPS", ", ".join(f"'{w}'" for w in dict.fromkeys(STOP_WORDS)))
