@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -92,6 +93,11 @@ def test_packing(spark, odd, docs, nothing, which):
             assert r["offset"] == at and len(r["ids"]) == 4 * r["length"] > 0
             at += r["length"]
         assert at <= 2048 and at & (at - 1) == 0  # a power of two takes no padding
+    groups = defaultdict(dict)
+    for r in rows:
+        groups[r["step_group"]][r["sequence_id"]] = r["tier"]
+    sums = Counter((g >> 38, sum(s.values()) == packing.STEP_TOKENS) for g, s in groups.items())
+    assert all(sum(s.values()) <= packing.STEP_TOKENS for s in groups.values()) and all(n <= 1 for (_, full), n in sums.items() if not full)
     whole = Counter()
     for (doc, total), p in pieces.items():
         copies = sum(r["length"] for r in p) // total
@@ -128,6 +134,23 @@ def test_pii(spark, odd, nothing):
     assert got == Counter((i, *brute.pii_row(t)) for i, t in rows)
     assert pii.redact(df.where("doc_id = 5000")).first()["text"] == "[EMAIL][EMAIL] [IP].[IP] x [CARD] [IBAN] [PHONE]"
     assert pii.redact(odd).count() == len(ODD) and pii.redact(nothing).columns == nothing.columns
+    rows = [(i, "".join(rng.choice(["a@b.cd", " 1.2.3.4", "é🙂 x", "+1 555 123 4567 ", "4111 1111 1111 1111", "\n"]) for _ in range(400 * i))) for i in range(6)]
+    rows.append((9, "x" * 9000 + " a@b.cd " + "🙂" * 5000))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for r in pii.find_spans(df).collect():
+        t, want, at = r["text"], "", 0
+        for s in r["pii_spans"]:
+            if s["start"] >= at:
+                want += t[at : s["start"]] + f"[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert pii.redact(df.where(F.col("doc_id") == r["doc_id"])).first()["text"] == want + t[at:]
+
+
+def test_context_words_decide(spark):
+    key = "0123456789abcdef0123456789abcdef01234567"
+    rows = [(1, f'token = "{key}"'), (2, f"commit {key}"), (3, f'example token = "{key}"'), (4, "social security 123-45-6789"), (5, "part 123-45-6789"), (6, "mac 00:1A:2b:3c:4d:5e")]
+    got = {r["doc_id"]: r["spans"] for r in pii.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {1: "secret:9:49", 2: "", 3: "", 4: "ssn:16:27", 5: "", 6: "mac:4:21"}
 
 
 def test_iban_before_words_and_numbers(spark):
@@ -144,6 +167,11 @@ def test_iban_before_words_and_numbers(spark):
 def test_pii_stays_linear(spark):
     texts = ["a" * 300_000, "1" * 300_000, "a@" + "b." * 100_000, "+1" + "-" * 200_000, "1.2." * 100_000]
     assert pii.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count() == len(texts)
+    many = spark.createDataFrame([(1, "a@b.cd, " * 80_000)], "doc_id long, text string")
+    began = time.time()
+    assert pii.scan(many).first()["n_email"] == 80_000
+    assert pii.redact(many).first()["text"] == "[EMAIL], " * 80_000
+    assert time.time() - began < 60
 
 
 def test_near_duplicates(spark, docs, texts, nothing):
@@ -363,7 +391,84 @@ def test_field_marginals_are_exact():
             hits.append(y)
         want = np.array(weights) @ np.array(hits) / sum(weights)
         at, got = f.document(words)
-        assert np.allclose(want[at], got)
+        assert at.tolist() == list(range(n)) and np.allclose(want, got)
+
+
+def test_spans_after_letters_that_grow(spark):
+    """A letter whose lower case is longer doesn't move what follows; all toxic spots of a text are learned from."""
+    f = toxicity.Field({"vilex": 14.0}, -4.0)
+    got = toxicity.score_documents(spark.createDataFrame([(1, "İstanbul kötü vilex VILEX İ")], "doc_id long, text string"), f).first()
+    assert [("İstanbul kötü vilex VILEX İ"[s["start"] : s["end"]]) for s in got["spans"]] == ["vilex", "VILEX"]
+
+
+def kneser_ney(texts, order=langid.ORDER):
+    """P(character | forerunners) by counting strings."""
+    grams = Counter()
+    for t in texts:
+        s = [32] * (order - 1) + [int(c) for c in langid.characters(t)[0]]
+        grams.update(tuple(s[i : i + order]) for i in range(len(s) - order + 1))
+    tables = [grams]
+    for n in range(order - 1, 0, -1):
+        tables.insert(0, Counter(g[1:] for g in tables[0]) if n == order - 1 else Counter(g[1:] for g in {h[-n - 1 :] for h in grams}))
+
+    def p(ctx, c, n=order):
+        if n == 0:
+            return 1 / 65536
+        table = tables[n - 1]
+        ctx = ctx[len(ctx) - (n - 1) :]
+        own = {g: k for g, k in table.items() if g[:-1] == ctx}
+        if not own:
+            return p(ctx, c, n - 1)
+        once, twice = sum(k == 1 for k in table.values()), sum(k == 2 for k in table.values())
+        d = once / (once + 2 * twice) if once and twice else 0.5
+        total = sum(own.values())
+        return max(own.get((*ctx, c), 0) - d, 0) / total + d * len(own) / total * p(ctx, c, n - 1)
+
+    return p
+
+
+def test_language_models_are_kneser_ney():
+    samples = {"a": ["abab abba ba", "ab cab"], "b": ["bcbc cbcb \U00010400b", "bbc"]}
+    m = langid.Models(samples)
+    models = {g: kneser_ney(ts) for g, ts in samples.items()}
+    for text in ("abc ab", "zz b", "\U00010400\U00010428"):
+        chars = langid.characters(text)[0]
+        s = [32] * (langid.ORDER - 1) + [int(c) for c in chars]
+        got = m.entropy([text])[0][0]
+        for j, g in enumerate(m.languages):
+            want = -np.mean([np.log(models[g](tuple(s[i : i + langid.ORDER - 1]), s[i + langid.ORDER - 1])) for i in range(len(chars))])
+            assert abs(want - got[j]) < 1e-4
+    assert len(set(langid.characters("\U00010400\U00010A00")[0].tolist())) == 3  # other letters of other scripts
+
+
+def test_quality_quantile_and_filter(spark, odd, nothing):
+    rng = np.random.default_rng(5)
+    x = np.concatenate([rng.normal(0, 1, (300, 3)), rng.normal(2, 1, (100, 3))])
+    y = np.repeat([0, 1], [300, 100])
+    for q in (0.1, 0.5, 0.9):
+        r = quality.fit(x, y, {0: 300, 1: 100}, q)
+        assert abs((r.score(x) < quality.ACCEPT).mean() - q) < 0.01 and abs(r.quantile - q) < 0.01
+    # the plain version of the ranking: no step of the pairwise likelihood makes it better
+    r = quality.fit(x, y, {0: 300, 1: 100})
+    s = r.raw(x)
+    assert (s[300:, None] > s[None, :300]).mean() > 0.98
+    flat = quality.fit(np.ones((4, 3)), np.array([0, 1, 0, 1]), {0: 2, 1: 2})
+    assert np.isfinite(flat.score(np.ones((2, 3)))).all() and flat.score(np.empty((0, 3))).shape == (0,)
+    model = quality.train(odd, labels_of(spark))
+    kept = quality.filter_documents(odd, model)
+    scores = quality.score_documents(odd, model).where("predicted = 1").count()
+    assert kept.columns == odd.columns and kept.count() == scores
+    assert quality.filter_documents(nothing, model).count() == 0 and model.texts([]).shape == (0,)
+
+
+def test_rules_filter(odd, nothing, spark):
+    good = "The cat and the dog went to the house on the hill, and " * 6
+    words = " ".join(f"word{i} the thing{i}" for i in range(40))
+    rows = [(1, words, 1), (1, words, 1), (None, words.upper(), 2), (3, None, 3), (4, good, 4), (5, " ".join(f"zzz{i}" for i in range(99)), 5)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _w int")
+    got = Counter(tuple(r) for r in rules.filter_documents(df).collect())
+    assert got == Counter(r for r in rows if r[2] in (1, 2))
+    assert rules.filter_documents(odd).count() == 0
 
 
 def test_top_k(spark):
