@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text, prepare
+from .common import cut, map_text, prepare, release
 from .hashing import U, mix, shingles_of
 
 TREES, DEPTH, SHALLOW = 24, 8, 4
@@ -239,9 +239,11 @@ def settled(first: DataFrame, crowded: DataFrame | None, keys: list[str], meet:
     known = components(first)
     if crowded is None:
         return known
-    known = cut(known)
     of = crowded.join(known.withColumnRenamed("root", "comp"), "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    return components(known.select(F.least("node", "root").alias("u"), F.greatest("node", "root").alias("v")).union(meet(cells(of, keys))))
+    more = cut(meet(cells(of, keys)))
+    if not any_row(more):
+        return known
+    return components(known.select(F.least("node", "root").alias("u"), F.greatest("node", "root").alias("v")).union(more))
 
 
 def any_row(df: DataFrame) -> bool:
@@ -255,8 +257,8 @@ def propose(nodes: DataFrame) -> DataFrame:
     trees = F.explode(F.array(*[F.struct(F.lit(t).alias("tree"), F.substring("sig", 2 * t * DEPTH + 1, 2 * SHALLOW).alias("region")) for t in range(TREES)]))
     placed = rows.select("node", trees.alias("r")).select("r.tree", "r.region", "node")
 
-    def sized(members: DataFrame) -> DataFrame:
-        return cut(members.groupBy("tree", "region").agg(F.count("*").alias("n")).where("n > 1"))
+    def sized(members: DataFrame, least: int = 2) -> DataFrame:
+        return cut(members.groupBy("tree", "region").agg(F.count("*").alias("n")).where(F.col("n") >= least))
 
     sizes, slice_ = sized(placed), F.lit(0).alias("slice")
     fits, large = f"n <= {REGION}", f"n > {REGION}"
@@ -264,19 +266,14 @@ def propose(nodes: DataFrame) -> DataFrame:
     crowded = None
     if any_row(sizes.where(large)):
         crowded = cut(placed.join(sizes.where(large).drop("n"), ["tree", "region"]).join(rows, "node").select("tree", "region", "node", own.alias("key")))
-        deeper = crowded
-        for depth in range(SHALLOW + 1, DEPTH + 1):
-            deeper = deeper.select("tree", F.substring("key", 1, 2 * depth).alias("region"), "node", "key")
-            sizes = sized(deeper)
-            dealt.append(deeper.join(sizes.where(fits), ["tree", "region"]).select("tree", "region", slice_, "node"))
-            if not any_row(sizes.where(large)):
-                break
-            both = deeper.join(sizes.where(large), ["tree", "region"])
-            if depth == DEPTH:  # equal to the end: parts of the region's nodes
-                part = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / REGION)).cast("int")
-                dealt.append(both.select("tree", "region", part.alias("slice"), "node"))
-            else:
-                deeper = cut(both.select("tree", "region", "node", "key"))
+        levels = F.explode(F.array(*[F.substring("key", 1, 2 * d) for d in range(SHALLOW + 1, DEPTH + 1)]))
+        deeper = crowded.select("tree", "node", levels.alias("region"))
+        # of each node and tree the first depth that fits; shorter prefixes have fewer bytes
+        ok = deeper.join(sized(deeper, 1), ["tree", "region"]).where(f"n <= {REGION} or octet_length(region) = {2 * DEPTH}")
+        best = ok.groupBy("tree", "node").agg(F.min(F.struct(F.octet_length("region").alias("d"), "region", "n")).alias("b"))
+        # equal to the end: parts of the region's nodes
+        part = F.when(F.col("b.n") > REGION, F.pmod(F.xxhash64("node"), F.ceil(F.col("b.n") / REGION))).otherwise(0)
+        dealt.append(best.where("b.n > 1").select("tree", "b.region", part.cast("int").alias("slice"), "node"))
     signed = reduce(DataFrame.unionByName, dealt).join(rows, "node").select("tree", "region", "slice", own.alias("key"), "node", "sig")
 
     def up(table: pa.Table, edge: np.ndarray) -> list[tuple[int, int]]:
@@ -321,6 +318,7 @@ def components(edges: DataFrame) -> DataFrame:
         small = large.join(low, "v").select(F.explode(F.array(F.struct("m", F.col("v").alias("w")), F.struct("m", F.col("u").alias("w")))).alias("e"))
         edges = cut(small.select(F.col("e.m").alias("u"), F.col("e.w").alias("v")).where("u <> v").distinct())
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+        release(edges.sparkSession)
         if now == state:
             break
         state = now
