@@ -26,18 +26,23 @@ def fixed(docs: DataFrame, size: int = 128, overlap: int = 16, key: str = "doc_i
     ).where(F.size("_w") > 0)
     n = F.size("_w")
     last = F.when(n <= size, 0).otherwise(F.ceil((n - size) / F.lit(stride)).cast("int"))
-    cut = words.select("*", F.explode(F.sequence(F.lit(0), last)).alias("piece"))
-    at = F.col("piece") * stride
-    w = F.slice("_w", at + 1, F.lit(size))
-    # the gap before each word but the first goes with it
-    gaps = F.slice("_g", at + 1, F.size(w))
-    text_of = F.array_join(F.zip_with(gaps, w, lambda g, x: F.concat(g, x)), "")
+
+    def window(p: Column) -> Column:
+        at = p * stride
+        w = F.slice("_w", at + 1, F.lit(size))
+        # the gap before each word but the first goes with it
+        gaps = F.slice("_g", at + 1, F.size(w))
+        inner = F.array_join(F.zip_with(F.slice(gaps, 2, F.lit(size)), F.slice(w, 2, F.lit(size)), lambda g, x: F.concat(g, x)), "")
+        return F.struct(p.alias("piece"), F.concat(F.element_at(w, 1), inner).alias("chunk_text"), F.size(w).alias("token_count"))
+
+    # windows leave the row as small structs: the arrays of a whole text are not copied into each chunk
+    cut = words.select(*[c for c in docs.columns if c != text], F.inline(F.transform(F.sequence(F.lit(0), last), window)))
     return cut.select(
         *[c for c in docs.columns if c != text],
         "piece",
         F.concat_ws(":", F.col(key).cast("string"), F.col("piece").cast("string")).alias("chunk_id"),
-        F.substring(text_of, F.length(F.element_at(gaps, 1)) + 1, F.length(text_of)).alias("chunk_text"),
-        F.size(w).alias("token_count"),
+        "chunk_text",
+        "token_count",
     )
 
 
@@ -110,11 +115,12 @@ def sentence(docs: DataFrame, target: int = 128, most: int = 256, overlap: int =
             ]
             cols = list(zip(*rows, strict=True)) or [(), (), (), ()]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int32(), pa.string(), pa.int32()), strict=True)],
+                [pa.array(c, t) for c, t in zip(cols, (b.schema.field(0).type, pa.int32(), pa.string(), pa.int32()), strict=True)],
                 names=[key, "piece", "chunk_text", "token_count"],
             )
 
-    return docs.select(F.col(key).cast("long"), split(F.col(text)).alias("_s")).mapInArrow(run, f"{key} long, piece int, chunk_text string, token_count int")
+    kind = "string" if dict(docs.dtypes)[key] == "string" else "long"
+    return docs.select(F.col(key).cast(kind), split(F.col(text)).alias("_s")).mapInArrow(run, f"{key} {kind}, piece int, chunk_text string, token_count int")
 
 
 def adaptive(docs: DataFrame, target: int = 256, most: int = 384, cohesion: float = 0.15, key: str = "doc_id", text: str = "text") -> DataFrame:

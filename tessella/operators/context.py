@@ -133,6 +133,28 @@ def assemble(items: DataFrame, cfg: ContextConfig = ContextConfig(), key: str =
     )
 
 
+def analyze(items: DataFrame, cfg: ContextConfig = ContextConfig()) -> DataFrame:
+    """One row for each query on all of its candidates: nothing is chosen; what a pruning would rescue is counted."""
+    per = items.groupBy("query_id").agg(
+        F.collect_list(F.struct("is_distractor", "terms")).alias("all"),
+        F.count("*").alias("n_input"),
+        F.sum(F.col("token_count").cast("long")).alias("input_tokens"),
+        F.count_if("is_distractor").alias("n_bad"),
+        F.bool_and(F.col("grounding") <= cfg.low_confidence).alias("low_confidence"),
+    )
+    per = per.withColumn("seeds", F.filter("all", lambda x: ~x["is_distractor"]))
+    linked = F.filter("all", lambda x: x["is_distractor"] & F.exists("seeds", lambda s: jaccard(x["terms"], s["terms"]) >= cfg.min_link))
+    return per.select(
+        "query_id",
+        "n_input",
+        "input_tokens",
+        F.round(share(F.col("n_bad"), F.col("n_input")), 6).alias("distractor_ratio"),
+        F.size(linked).cast("long").alias("n_rescuable"),
+        "low_confidence",
+        F.when(F.col("input_tokens") <= cfg.auto_gate, "passthrough").otherwise("prune").alias("decision"),
+    )
+
+
 def economics(items: DataFrame) -> DataFrame:
     """Tokens, relevant share, waste and density of each query's unselected candidates."""
     t = F.col("token_count").cast("long")

@@ -85,14 +85,15 @@ def bm25(
 
 
 def phrase(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", field: str = "chunk_text") -> DataFrame:
-    """(query_id, key, hits): places where the two words of each query stand side by side."""
-    two = queries.select("query_id", tokens(F.col("query")).alias("t")).where(F.size("t") == 2)
-    wanted = small(two.select(F.explode("t").alias("term")).distinct())
+    """(query_id, key, hits): places where all words of each query stand in a row."""
+    asked = queries.select("query_id", tokens(F.col("query")).alias("t")).select("query_id", F.size("t").alias("n"), F.posexplode("t").alias("i", "term"))
+    wanted = small(asked.select("term").distinct())
     p = postings(chunks, {"text": field}, key, wanted=wanted).select(key, "term", "positions")
-    first = p.join(two.select("query_id", F.col("t")[0].alias("term"), F.col("t")[1].alias("second")), "term")
-    second = p.select(key, F.col("term").alias("second"), F.col("positions").alias("after"))
-    hits = F.size(F.array_intersect(F.transform("positions", lambda x: x + 1), F.col("after")))
-    return first.join(second, [key, "second"]).select("query_id", key, hits.cast("long").alias("hits")).where("hits > 0")
+    # where the phrase would have to start, by each of its words
+    starts = F.struct("i", F.transform("positions", lambda x: x - F.col("i")).alias("s"))
+    both = p.join(small(asked), "term").groupBy("query_id", key, "n").agg(F.collect_list(starts).alias("l")).where("size(l) = n")
+    common = F.aggregate("l", F.col("l")[0]["s"], lambda a, x: F.array_intersect(a, x["s"]))
+    return both.select("query_id", key, F.size(common).cast("long").alias("hits")).where("hits > 0")
 
 
 def unit(v: Column) -> Column:

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import grounding, sentences, share, tokens
+from ..functions.text import answer_sentences, grounding, share, tokens
+from .rewrite import holds
 
 
 def vocabulary(chunks: DataFrame, text: str = "chunk_text") -> DataFrame:
@@ -62,6 +65,24 @@ def diagnose(queries: DataFrame, candidates: DataFrame, contexts: DataFrame, voc
     return b.select("query_id", "n_terms", "n_zero", "n_candidates", "score_spread", F.array_join(hints, ",").alias("hints"))
 
 
+def term_details(queries: DataFrame, items: DataFrame, vocab: DataFrame, n_chunks: int) -> DataFrame:
+    """(query_id, unmatched_terms, zero_match_terms, max_df_ratio): query terms that no candidate and that no chunk has, in order."""
+    seen = items.groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("terms"))).alias("seen"))
+    rows = query_terms(queries).join(vocab, "term", "left").join(seen, "query_id", "left")
+    rows = rows.select("query_id", "pos", "term", F.coalesce("df", F.lit(0)).alias("df"), F.coalesce(F.array_contains("seen", F.col("term")), F.lit(False)).alias("in"))
+    listed = lambda when: F.array_join(F.transform(F.sort_array(F.collect_list(F.when(when, F.struct("pos", "term")))), lambda x: x["term"]), ",")
+    return rows.groupBy("query_id").agg(
+        listed(~F.col("in")).alias("unmatched_terms"), listed(F.col("df") == 0).alias("zero_match_terms"), F.round(F.max(F.col("df") / max(n_chunks, 1)), 6).alias("max_df_ratio")
+    )
+
+
+def top_zero_terms(queries: DataFrame, vocab: DataFrame, most: int = 20) -> DataFrame:
+    """(term, n, nth): terms unknown to the corpus that most queries have."""
+    n = query_terms(queries).join(vocab, "term", "left_anti").groupBy("term").agg(F.count("*").alias("n"))
+    best = n.orderBy(F.desc("n"), "term").limit(most)
+    return best.select("term", "n", F.row_number().over(Window.orderBy(F.desc("n"), "term")).cast("long").alias("nth"))
+
+
 def summarize_diagnoses(diagnoses: DataFrame) -> DataFrame:
     """One row: the rates of the hints and the focus that they suggest."""
     has = lambda h: F.contains("hints", F.lit(h))
@@ -98,7 +119,7 @@ def query_set_report(queries: DataFrame) -> DataFrame:
     rows = queries.select("query_id", query_set_terms(queries).alias("t"))
     n = F.lit(rows.count())
     df = rows.select(F.explode(F.array_distinct("t")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    common = df.where(F.col("df") >= F.ceil(0.8 * n)).agg(F.sort_array(F.collect_list("term")).alias("bp"))
+    common = df.where(F.col("df") >= F.ceil(0.8 * n)).agg(F.transform(F.sort_array(F.collect_list(F.struct((-F.col("df")).alias("d"), "term"))), lambda x: x["term"]).alias("bp"))
     parts = rows.where(F.size("t") > 0).join(F.broadcast(common), F.lit(True))
     part = F.size(F.filter("t", lambda w: F.array_contains("bp", w))) / F.size("t")
     got = parts.agg(F.round(F.coalesce(F.avg(part), F.lit(0.0)), 6).alias("share"), F.coalesce(F.first("bp"), F.array().cast("array<string>")).alias("bp"))
@@ -124,7 +145,7 @@ def expand(query: Column, classes: list[list[str]], both_ways: bool = False) ->
     have, added = tokens(query), []
     for members in classes:
         keys = members if both_ways else members[:1]
-        hit = F.arrays_overlap(have, F.array(*map(F.lit, keys)))
+        hit = reduce(lambda a, b: a | b, [holds(have, tokens(F.lit(k))) for k in keys])
         more = F.filter(F.array(*map(F.lit, members)), lambda m: ~F.array_contains(have, m))
         added.append(F.when(hit, more).otherwise(F.array().cast("array<string>")))
     return F.array_join(F.concat(F.array(query), F.array_distinct(F.concat(*added))), " ")
@@ -165,7 +186,7 @@ def summarize(evals: DataFrame) -> DataFrame:
 def faithfulness(answer: Column, context: Column) -> Column:
     """Share of the answer's sentences with at least half of their distinct terms in the context."""
     ctx = F.array_distinct(tokens(context))
-    sents = F.transform(sentences(answer), lambda s: F.array_distinct(tokens(s)))
+    sents = F.transform(answer_sentences(answer), lambda s: F.array_distinct(tokens(s)))
     ok = F.filter(sents, lambda t: F.size(F.array_intersect(t, ctx)) >= F.ceil(F.size(t) / 2))
     return F.when(F.size(sents) > 0, share(F.size(ok), F.size(sents)))
 

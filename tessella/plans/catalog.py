@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, retrieval, workload
+from ..operators import chunking, context, measures, retrieval, workload
 from ..operators.context import ContextConfig
 from ..sources import sections
 
@@ -454,6 +454,55 @@ def judge_parse_score(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", workload.parse_score(raw).alias("score"))
 
 
+@query
+def diag_terms(spark, d):
+    c = chunks(spark, d)
+    return workload.term_details(passages(spark, d), items(spark, d), workload.vocabulary(c), c.count())
+
+
+@query
+def diag_top_zero_terms(spark, d):
+    return workload.top_zero_terms(passages(spark, d), workload.vocabulary(chunks(spark, d)))
+
+
+@query
+def ctx_analyze(spark, d):
+    return context.analyze(items(spark, d))
+
+
+@query
+def span_recall(spark, d):
+    got = context.context_text(built(spark, d, "raw_topk"), chunks(spark, d)).join(passages(spark, d), "query_id")
+    of = lambda distinct: F.round(measures.span_recall(F.col("query"), F.col("context"), distinct), 6)
+    return got.select("query_id", of(True).alias("by_set"), of(False).alias("by_list"))
+
+
+@query
+def judge_agreement(spark, d):
+    got = measures.agreement(table(spark, d, "labels"), "quality", "toxic")
+    return got.select("n", F.round("pearson", 6).alias("pearson"), F.round("mae", 6).alias("mae"))
+
+
+@query
+def greedy_fill(spark, d):
+    rows = lexical(spark, d).join(chunks(spark, d).select("chunk_id", "token_count"), "chunk_id")
+    return measures.fill(rows, 1000).select("query_id", "rank", "chunk_id", "used")
+
+
+@query
+def tokens_english(spark, d):
+    from ..functions.analysis import ENGLISH
+
+    toks = table(spark, d, "documents").where("lang = 'en'").select("doc_id", F.explode(ENGLISH.tokens(F.col("text"))).alias("term"))
+    return toks.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+
+
+@query
+def bootstrap_ci(spark, d):
+    rows = items(spark, d).select(F.lit("bm25").alias("run"), F.concat_ws(":", "query_id", "rank").alias("o"), "grounding")
+    return measures.bootstrap(rows, ["run"], "grounding", "o")
+
+
 @query
 def f_beta(spark, d):
     lab = table(spark, d, "labels").agg(

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from ..functions.text import ACCENTED, PLAIN, STOP_WORDS
+from ..functions.text import STOP_WORDS
 from ..sources.sections import CODE, DATA
 
 
 def tok(x: str) -> str:
-    return rf"regexp_extract_all(lower(replace(translate(coalesce({x}, ''), '{ACCENTED}', '{PLAIN}'), 'ß', 'ss')), '[\p{{L}}\p{{N}}]+')"
+    return rf"regexp_extract_all(lower(replace(strip_accents(coalesce({x}, '')), 'ß', 'ss')), '[\p{{L}}\p{{N}}]+')"
 
 
 def jac(a: str, b: str) -> str:
@@ -157,7 +157,7 @@ SELECT doc_id, section_idx, max(CASE WHEN h THEN regexp_extract(content, '^#{1,6
     "vocab_df": f"WITH {CH}, {CT}, {VOCAB} SELECT * FROM vo",
     "postings_tf": f"WITH {CH}, {CT}, {POST} SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, max(tf) AS max_tf FROM po GROUP BY 1",
     "query_set_report": r"""WITH q AS (SELECT list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: strlen(w) > 1) AS t FROM conversations WHERE role = 'user'),
-d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM q) GROUP BY 1), b AS (SELECT coalesce(list(term ORDER BY term), []) AS bp FROM d WHERE df >= ceil(0.8 * (SELECT count(*) FROM q))),
+d AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct(t)) AS term FROM q) GROUP BY 1), b AS (SELECT coalesce(list(term ORDER BY df DESC, term), []) AS bp FROM d WHERE df >= ceil(0.8 * (SELECT count(*) FROM q))),
 s AS (SELECT round(coalesce(avg(len(list_filter(t, lambda w: list_contains(bp, w))) / len(t)), 0), 6) AS share, any_value(bp) AS bp FROM q, b WHERE len(t) > 0)
 SELECT (SELECT count(*) FROM q) AS n_queries, share, array_to_string(bp, ',') AS boilerplate, share >= 0.5 AND len(bp) >= 2 AS templated, CASE WHEN share >= 0.7 THEN 'high' WHEN share >= 0.4 THEN 'medium' WHEN share >= 0.2 THEN 'low' ELSE 'none' END AS cost FROM s""",
     "bm25_topk": f"WITH {CA} SELECT * FROM ca",
@@ -187,7 +187,7 @@ SELECT *, CASE WHEN n_queries < 20 THEN 'sample_too_small' WHEN vocab_rate >= 0.
     "rw_vocab": expand(False),
     "rw_vocab_bidirectional": expand(True),
     "eval_recall_precision": f"WITH {RAW}, gd AS (SELECT query_id, list(chunk_id) AS gold FROM it WHERE grounding >= 0.9 GROUP BY 1), b AS (SELECT query_id, ids, coalesce(gold, []) AS gold FROM sel LEFT JOIN gd USING (query_id)), h AS (SELECT *, len(list_filter(gold, lambda x: list_contains(ids, x))) AS n FROM b) SELECT query_id, round(CASE WHEN len(gold) = 0 THEN 1.0 ELSE n / len(gold) END, 6) AS recall, round(CASE WHEN len(gold) > 0 THEN CASE WHEN len(ids) = 0 THEN 0.0 ELSE n / len(ids) END END, 6) AS precision FROM h",
-    "eval_answer_recall": rf"WITH {RAW}, {TEXT}, e AS (SELECT query_id, q, list_distinct({tok('context')}) AS c, list_filter(list_transform(regexp_extract_all(query, '[^.!?\n]+[.!?]*'), lambda s: trim(s)), lambda s: s <> '') AS ss FROM tx JOIN qq USING (query_id)), g AS (SELECT *, list_transform(ss, lambda s: list_distinct({tok('s')})) AS st FROM e) SELECT query_id, round(len(list_filter(q, lambda x: list_contains(c, x))) / len(q), 6) AS answer_recall, round(CASE WHEN len(st) > 0 THEN len(list_filter(st, lambda t: len(list_filter(t, lambda x: list_contains(c, x))) >= ceil(len(t) / 2))) / len(st) END, 6) AS faithfulness FROM g",
+    "eval_answer_recall": rf"WITH {RAW}, {TEXT}, e AS (SELECT query_id, q, list_distinct({tok('context')}) AS c, list_filter(list_transform(string_split(regexp_replace(query, '([.?!])([ \t\r\f])', '\1' || chr(10) || '\2', 'g'), chr(10)), lambda s: trim(s)), lambda s: s <> '') AS ss FROM tx JOIN qq USING (query_id)), g AS (SELECT *, list_transform(ss, lambda s: list_distinct({tok('s')})) AS st FROM e) SELECT query_id, round(len(list_filter(q, lambda x: list_contains(c, x))) / len(q), 6) AS answer_recall, round(CASE WHEN len(st) > 0 THEN len(list_filter(st, lambda t: len(list_filter(t, lambda x: list_contains(c, x))) >= ceil(len(t) / 2))) / len(st) END, 6) AS faithfulness FROM g",
     "eval_set_coverage": f"WITH {contexts('raw_topk', 512)}, fm AS (SELECT query_id, split_part(chunk_id, ':', 1) AS family, bool_and(list_contains(ids, chunk_id)) AS whole FROM it JOIN sel USING (query_id) WHERE grounding >= 0.9 GROUP BY 1, 2), c AS (SELECT query_id, count(*) FILTER (whole) / count(*) AS c FROM fm GROUP BY 1) SELECT query_id, round(coalesce(c, 1.0), 6) AS coverage FROM sel LEFT JOIN c USING (query_id)",
     "eval_summary": f"WITH {RAW}, gd AS (SELECT query_id, list(chunk_id) AS gold FROM it WHERE grounding >= 0.9 GROUP BY 1), b AS (SELECT query_id, ids, coalesce(gold, []) AS gold FROM sel LEFT JOIN gd USING (query_id)), h AS (SELECT *, len(list_filter(gold, lambda x: list_contains(ids, x))) AS n FROM b), e AS (SELECT round(CASE WHEN len(gold) = 0 THEN 1.0 ELSE n / len(gold) END, 6) AS recall, round(CASE WHEN len(gold) > 0 THEN n / len(ids) END, 6) AS precision FROM h) SELECT count(*) AS n, round(avg(recall), 6) AS mean_recall, round(avg(precision), 6) AS mean_precision, count(precision) AS n_precision, quantile_disc(recall, 0.5) AS median_recall FROM e",
     "rerank_fusion": f"WITH {LEX}, pl AS {top('sc', 50, 'chunk_id', 'chunk_id, score')}, dn AS (SELECT query_id, chunk_id, round(list_cosine_similarity(q.embedding::DOUBLE[], v.embedding::DOUBLE[]), 6) AS dense FROM pl JOIN ch USING (chunk_id) JOIN embeddings v ON v.vec_id = doc_id JOIN embeddings q ON q.vec_id = query_id), r AS (SELECT query_id, chunk_id, round(pl.score + 2.0 * coalesce(dense, 0), 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY dense IS NULL, dense DESC, rank) AS prior FROM pl LEFT JOIN dn USING (query_id, chunk_id)), f AS (SELECT * FROM r WHERE prior <= 20) SELECT * FROM {top('f', 10, 'prior', 'chunk_id, score')}",
@@ -196,6 +196,12 @@ SELECT *, CASE WHEN n_queries < 20 THEN 'sample_too_small' WHEN vocab_rate >= 0.
     "drop_low_idf": f"WITH {CH}, {CT}, {VOCAB}, q AS (SELECT item_id AS query_id, list_distinct({tok('text')}) AS d, {tok('text')} AS t FROM benchmark), u AS (SELECT query_id, term, min(pos) AS pos FROM (SELECT query_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM q) GROUP BY 1, 2) SELECT query_id, string_agg(term, ' ' ORDER BY pos) AS query FROM u LEFT JOIN vo USING (term) WHERE coalesce(df, 0) <= ceil((SELECT count(*) FROM ch) * 0.2) OR length(term) < 3 GROUP BY 1",
     "latency_percentile": "SELECT event_type, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, count(*) AS n FROM events GROUP BY 1",
     "judge_parse_score": r"WITH a AS (SELECT conv_id, turn, lower(trim(regexp_split_to_array(text, '\s+')[-1])) AS s FROM conversations), b AS (SELECT *, try_cast(nullif(regexp_extract(s, '(-?[0-9]+(?:\.[0-9]+)?)', 1), '') AS DOUBLE) AS n FROM a) SELECT conv_id, turn, CASE WHEN regexp_matches(s, '^(yes|true)') THEN 1.0 WHEN regexp_matches(s, '^(no|false)') THEN 0.0 WHEN n < 0 THEN 0.0 WHEN regexp_matches(s, '[0-9]\s*%') OR n > 1 THEN least(n / 100, 1.0) ELSE n END::DOUBLE AS score FROM b",
+    "diag_terms": f"WITH {IT}, {VOCAB}, u AS (SELECT query_id, flatten(list(terms)) AS al FROM it GROUP BY 1), o AS (SELECT item_id AS query_id, {tok('text')} AS t FROM benchmark), e AS (SELECT query_id, term, min(pos) AS pos FROM (SELECT query_id, unnest(t) AS term, unnest(range(len(t))) AS pos FROM o) GROUP BY 1, 2), j AS (SELECT e.*, coalesce(vo.df, 0) AS df, list_contains(coalesce(al, []), e.term) AS seen FROM e LEFT JOIN vo USING (term) LEFT JOIN u USING (query_id)) SELECT query_id, coalesce(string_agg(term, ',' ORDER BY pos) FILTER (NOT seen), '') AS unmatched_terms, coalesce(string_agg(term, ',' ORDER BY pos) FILTER (df = 0), '') AS zero_match_terms, round(max(df / (SELECT count(*) FROM ch)), 6) AS max_df_ratio FROM j GROUP BY 1",
+    "diag_top_zero_terms": f"WITH {CH}, {CT}, {VOCAB}, o AS (SELECT DISTINCT item_id, unnest({tok('text')}) AS term FROM benchmark), c AS (SELECT term, count(*) AS n FROM o WHERE term NOT IN (SELECT term FROM vo) GROUP BY 1) SELECT term, n, row_number() OVER (ORDER BY n DESC, term) AS nth FROM c QUALIFY nth <= 20",
+    "ctx_analyze": f"WITH {IT}, se AS (SELECT query_id, list(terms) AS st FROM it WHERE NOT is_distractor GROUP BY 1) SELECT query_id, count(*) AS n_input, sum(token_count)::BIGINT AS input_tokens, round(count(*) FILTER (is_distractor) / count(*), 6) AS distractor_ratio, count(*) FILTER (is_distractor AND len(list_filter(coalesce(st, []), lambda x: {jac('x', 'it.terms')} >= 0.12)) > 0) AS n_rescuable, bool_and(grounding <= 0.10) AS low_confidence, CASE WHEN sum(token_count) <= 1500 THEN 'passthrough' ELSE 'prune' END AS decision FROM it LEFT JOIN se USING (query_id) GROUP BY 1",
+    "span_recall": f"WITH {RAW}, {TEXT}, e AS (SELECT query_id, {tok('query')} AS g, {tok('context')} AS c FROM tx JOIN qq USING (query_id)) SELECT query_id, round(CASE WHEN len(g) = 0 THEN 1.0 ELSE len(list_filter(list_distinct(g), lambda x: list_contains(c, x))) / len(list_distinct(g)) END, 6) AS by_set, round(CASE WHEN len(g) = 0 THEN 1.0 ELSE len(list_filter(g, lambda x: list_contains(c, x))) / len(g) END, 6) AS by_list FROM e",
+    "judge_agreement": "SELECT count(*) AS n, round(corr(quality, toxic), 6) AS pearson, round(avg(abs(quality - toxic)), 6) AS mae FROM labels WHERE quality IS NOT NULL AND toxic IS NOT NULL",
+    "greedy_fill": f"WITH {CA}, w AS (SELECT query_id, rank, chunk_id, sum(token_count) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS used FROM ca JOIN ch USING (chunk_id)) SELECT * FROM w WHERE used <= 1000",
     "f_beta": "WITH l AS (SELECT count(*) FILTER (quality = 1 AND toxic = 0) AS tp, count(*) FILTER (quality = 0 AND toxic = 0) AS fp, count(*) FILTER (quality = 1 AND toxic = 1) AS fn FROM labels) SELECT tp, fp, fn, round(5 * tp / (5 * tp + 4 * fn + fp), 6) AS f2 FROM l",
     "incremental_upsert": "SELECT doc_id::VARCHAR AS source, md5(text) AS stamp, length(text)::BIGINT AS length, CASE WHEN length(text) <= 1000 THEN 'add' WHEN length(text) > 2000 THEN 'reuse' ELSE 'replace' END AS action FROM documents",
     "windowed_audit": "SELECT time_bucket(INTERVAL '1 hour', ts) AS start, event_type, count(*) AS n, round(avg(value), 6) AS mean_value FROM events GROUP BY 1, 2",

@@ -45,6 +45,31 @@ def page_heading(text: Column) -> Column:
     return F.when(fits & ~lead.rlike(r"^(page |p\. |\[|[-*•])"), first)
 
 
+#: Words that may stand before a declaration, and words that open one.
+MODIFIERS = "pub export default public private protected static final async open override abstract".split()
+KEYWORDS = "def class fn func function impl struct enum trait interface module package sub".split()
+
+
+def symbol(line: Column) -> Column:
+    """The declaration that a line of code opens, without a closing brace or colon, at most 80 characters; else null."""
+    text = F.trim(line)
+    opens = text.rlike(rf"^(?:(?:{'|'.join(MODIFIERS)}) +)*(?:{'|'.join(KEYWORDS)}) ")
+    return F.when(opens, F.substring(F.regexp_replace(F.regexp_replace(text, r"[\s{]+$", ""), r"[\s:]+$", ""), 1, 80))
+
+
+def code_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, section_idx, text, page, heading, line): stretches between blank lines under the nearest declaration up to their first line."""
+    rows = lines(docs, key, text)
+    blank = F.length(F.trim("content")) == 0
+    order = Window.partitionBy(key).orderBy("line")
+    marked = rows.withColumn("sym", F.last(symbol(F.col("content")), ignorenulls=True).over(order)).withColumn("island", F.sum(blank.cast("int")).over(order))
+    got = marked.where(~blank).groupBy(key, "island").agg(
+        F.min("line").alias("line"), F.min_by("sym", "line").alias("heading"), F.sort_array(F.collect_list(F.struct("line", "content"))).alias("c")
+    )
+    body = F.rtrim(F.array_join(F.transform("c", lambda x: x["content"]), "\n"))
+    return got.select(key, F.col("line").cast("int").alias("section_idx"), body.alias("text"), F.lit(None).cast("int").alias("page"), "heading", F.col("line").cast("int").alias("line"))
+
+
 def markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
     """(key, section_idx, heading, line, section): a section starts at each heading line, which it keeps."""
     rows = lines(docs, key, text)
