@@ -39,7 +39,7 @@ def fold(c: Column) -> Column:
     """ASCII letters for all Latin ones; other scripts stay."""
     plain = F.translate(c, "".join(ONE), "".join(ONE.values()))
     long = reduce(lambda x, p: F.replace(x, F.lit(p[0]), F.lit(p[1])), MORE.items(), plain)
-    return F.when(c.rlike(f"[{''.join(MORE)}]"), long).otherwise(plain)
+    return F.when(~c.rlike(r"[^\x00-\x7F]"), c).when(c.rlike(f"[{''.join(MORE)}]"), long).otherwise(plain)
 
 
 def tokens(c: Column) -> Column:

@@ -163,7 +163,8 @@ def economics(items: DataFrame) -> DataFrame:
         F.round(share(F.sum(F.when(~F.col("is_distractor"), t).otherwise(0)), F.sum(t)), 6).alias("relevant_share"),
         F.round(share(F.count_if("is_distractor"), F.count("*")), 6).alias("distractor_ratio"),
         F.sum(F.when(F.col("is_distractor"), t).otherwise(0)).alias("waste_tokens"),
-        F.round(F.avg("density"), 6).alias("mean_density"),
+        # in the order of ranks, so that the last digit doesn't hang on the order of rows
+        F.round(F.aggregate(F.sort_array(F.collect_list(F.struct("rank", "density"))), F.lit(0.0), lambda a, x: a + x["density"]) / F.count("*"), 6).alias("mean_density"),
     )
 
 

@@ -5,18 +5,25 @@ Everything takes a table of queries; rankings are total: equal scores go by key.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import dot, grounding, share, tokens
+from ..functions.text import grounding, share, tokens
+from .best import Best
 
 K1, B = 1.2, 0.75
 #: Rows of queries up to which their side of a join is broadcast; more are shuffled.
 BROADCAST_ROWS = 50_000
-#: Queries of one block of a dense search.
-QUERY_BLOCK = 4096
+#: Bytes of queries up to which they are sent to all tasks.
+BROADCAST_BYTES = 32 << 20
+#: Cells of (rows x queries) scored at once in one task.
+CELLS = 1 << 21
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
@@ -57,31 +64,126 @@ def ranked(scored: DataFrame, k: int | None, *ties: str) -> DataFrame:
 def bm25(
     chunks: DataFrame,
     queries: DataFrame,
-    k: int = 20,
+    k: int | None = 20,
     fields: dict[str, str] | None = None,
     weights: dict[str, float] | None = None,
     split=tokens,
     repeat_terms: bool = False,
     key: str = "chunk_id",
 ) -> DataFrame:
-    """(query_id, rank, key, score): top ``k`` by BM25 over weighted fields.
+    """(query_id, rank, key, score): top ``k`` by BM25 over weighted fields; weights must be positive.
 
-    Query terms count once each, or as often as they stand with ``repeat_terms``.  Only the
-    postings of query terms are aggregated.
+    Query terms count once each, or as often as they stand with ``repeat_terms``.  Statistics are
+    of all chunks.  Terms of queries that fit into ``BROADCAST_ROWS`` and ``BROADCAST_BYTES`` are
+    sent to all tasks, which score their own chunks and shuffle ``k`` rows for each query; more are
+    joined to postings.  Both ways give the same rows.
     """
     fields, weights = fields or {"text": "chunk_text"}, weights or {}
+    if any(weights.get(f, 1.0) <= 0 for f in fields):
+        raise ValueError("weights must be positive")
     terms = queries.select("query_id", F.explode(split(F.col("query"))).alias("term"))
     asked = terms.groupBy("query_id", "term").agg(F.count("*").alias("times")) if repeat_terms else terms.distinct().withColumn("times", F.lit(1))
-    wanted = small(asked.select("term").distinct())
-    found = postings(chunks, fields, key, split, wanted).drop("positions")
+    few = asked.limit(BROADCAST_ROWS + 1).agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("term") + 32), F.lit(0)).alias("bytes")).first()
+    way = _scored if few["n"] <= BROADCAST_ROWS and few["bytes"] <= BROADCAST_BYTES else _joined
+    return way(chunks, asked, k, fields, weights, split, key).select("query_id", "rank", key, "score")
+
+
+def _joined(chunks, asked, k, fields, weights, split, key) -> DataFrame:
+    """BM25 by postings joined to the terms of queries: for more queries than a task can hold."""
+    found = postings(chunks, fields, key, split, asked.select("term").distinct()).drop("positions")
     df = found.groupBy("field", "term").agg(F.count("*").alias("df"))
     weight = F.create_map(*[F.lit(x) for f in fields for x in (f, float(weights.get(f, 1.0)))])
     stats = F.broadcast(field_stats(chunks, fields, split))  # one row for each field
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     norm = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    parts = found.join(df, ["field", "term"]).join(stats, "field").join(small(asked), "term")
+    parts = found.join(df, ["field", "term"]).join(stats, "field").join(asked, "term")
     scored = parts.groupBy("query_id", key).agg(F.round(F.sum(weight[F.col("field")] * F.col("times") * idf * norm), 6).alias("score"))
-    return ranked(scored, k, key).select("query_id", "rank", key, "score")
+    return ranked(scored, k, key)
+
+
+def _counts(lists: pa.Array, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lengths of the lists, and (row, word, times) of each of ``words`` in them."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    word = pc.fill_null(pc.index_in(lists.flatten(), words), -1).to_numpy(zero_copy_only=False)
+    row = np.repeat(np.arange(len(size)), size)
+    cell, times = np.unique((row * len(words) + word)[word >= 0], return_counts=True)
+    return size, *(np.divmod(cell, len(words)) if len(words) else (cell, cell)), times
+
+
+def _scored(chunks, asked, k, fields, weights, split, key) -> DataFrame:
+    """BM25 in the tasks that hold the chunks: one scan for the statistics of the asked terms, one to score."""
+    spark, names = chunks.sparkSession, list(fields)
+    got = asked.toArrow()
+    words, ids = pc.unique(got["term"].combine_chunks()), pc.unique(got["query_id"].combine_chunks())
+    id_type = asked.schema["query_id"].dataType.simpleString()
+    key_type = chunks.schema[key].dataType.simpleString()
+    rows = chunks.select(key, *[split(F.col(c)).alias(f"_f{i}") for i, c in enumerate(fields.values())])
+    width = len(words)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # of each field: rows with each word, then rows, then all words
+        total = np.zeros((len(names), width + 2), np.int64)
+        for b in batches:
+            for f in range(len(names)):
+                size, _, word, _ = _counts(b.column(1 + f), words)
+                total[f, :width] += np.bincount(word, minlength=width)
+                total[f, width:] += [len(size), size.sum()]
+        f, at = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(f, pa.int32()), pa.array(at, pa.int64()), pa.array(total[f, at])], names=["f", "at", "n"])
+
+    total = np.zeros((len(names), width + 2))
+    sums = rows.mapInArrow(count, "f int, at long, n long").groupBy("f", "at").agg(F.sum("n").alias("n")).toArrow()
+    total[sums["f"].to_numpy(), sums["at"].to_numpy()] = sums["n"].to_numpy()
+    df, n, mean = total[:, :width], total[:, [width]], total[:, width + 1] / np.maximum(total[:, width], 1)
+    boost = np.array([[float(weights.get(f, 1.0))] for f in names])
+    worth = boost * np.log(1 + (n - df + 0.5) / (df + 0.5))
+    # the queries that ask for each word, one behind the other
+    word, q = pc.index_in(got["term"], words).to_numpy(), pc.index_in(got["query_id"], ids).to_numpy()
+    order = np.lexsort((q, word))
+    model = spark.sparkContext.broadcast(
+        (worth, mean, np.searchsorted(word[order], np.arange(width + 1)), q[order], got["times"].to_numpy()[order].astype(float))
+    )
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        worth, mean, first, asker, times = model.value
+        best = None
+        for b in batches:
+            if best is None:
+                best = Best(len(ids), k, b.schema.field(0).type)
+            step = max(1, CELLS // max(len(ids), 1))
+            for part in (b.slice(i, step) for i in range(0, b.num_rows, step)):
+                sums = np.zeros(part.num_rows * len(ids))
+                for f in range(len(names)):
+                    size, row, word, tf = _counts(part.column(1 + f), words)
+                    norm = K1 * (1 - B + B * size[row] / (mean[f] or 1.0))
+                    value = worth[f, word] * tf * (K1 + 1) / (tf + norm)
+                    many = first[word + 1] - first[word]
+                    ends = np.cumsum(many)
+                    for lo, hi in _spans(ends, CELLS):
+                        m = many[lo:hi]
+                        at = np.repeat(first[word[lo:hi]] - (np.cumsum(m) - m), m) + np.arange(m.sum())
+                        sums += np.bincount(np.repeat(row[lo:hi] * len(ids), m) + asker[at], np.repeat(value[lo:hi], m) * times[at], len(sums))
+                sums = sums.reshape(part.num_rows, len(ids))
+                best.add(part.column(0), sums, sums > 0)
+            if k is None:
+                yield from named(best)
+        if best is not None:
+            yield from named(best)
+
+    def named(best: Best) -> Iterator[pa.RecordBatch]:
+        t = best.take()
+        yield from pa.table([ids.take(t["q"].combine_chunks()), t["key"], t["score"]], names=["query_id", key, "score"]).to_batches(10_000)
+
+    return ranked(rows.mapInArrow(score, f"query_id {id_type}, `{key}` {key_type}, score double"), k, key)
+
+
+def _spans(ends: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of entries that expand to about ``most`` each."""
+    lo = 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + most, "right")))
+        yield lo, hi
+        lo = hi
 
 
 def phrase(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", field: str = "chunk_text") -> DataFrame:
@@ -96,31 +198,56 @@ def phrase(chunks: DataFrame, queries: DataFrame, key: str = "chunk_id", field:
     return both.select("query_id", key, F.size(common).cast("long").alias("hits")).where("hits > 0")
 
 
-def unit(v: Column) -> Column:
-    """Length-one vector; the zero vector stays."""
-    n = F.sqrt(dot(v, v))
-    return F.when(n > 0, F.transform(v, lambda x: x.cast("double") / n)).otherwise(F.transform(v, lambda x: x.cast("double")))
+def _units(lists: pa.Array, width: int | None = None) -> np.ndarray:
+    """Length-one vectors as rows, cut or filled with zeros to ``width``; the zero vector stays, null components count as 0."""
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    x = pc.fill_null(lists.flatten(), 0).to_numpy(zero_copy_only=False).astype(np.float64)
+    wide = int(size.max(initial=0))
+    row = np.repeat(np.arange(len(size)), size)
+    out = np.zeros((len(size), wide))
+    out[row, np.arange(len(x)) - np.repeat(np.cumsum(size) - size, size)] = x
+    norm = np.sqrt((out * out).sum(axis=1, keepdims=True))
+    out /= np.where(norm > 0, norm, 1)
+    if width is None or width == wide:
+        return out
+    return out[:, :width] if width < wide else np.pad(out, ((0, 0), (0, width - wide)))
 
 
 def dense(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     """(query_id, rank, vec_id, score): exact cosine of (query_id, vector) against all (vec_id, embedding).
 
-    The stated queries meet all rows in blocks of about ``QUERY_BLOCK``: a block is one row that is
-    broadcast to the vectors, and each partition keeps its best before anything is shuffled.
+    Null vectors take no part; components beyond the shorter vector count as 0.  The stated queries
+    meet all rows in blocks of at most ``BROADCAST_BYTES``: a block is sent to all tasks, multiplied
+    with the vectors there, and ``k`` rows for each query and task are shuffled.
     """
-    v = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    q = queries.select("query_id", unit(F.col("vector")).alias("q"))
-    blocks = max(1, -(-q.count() // QUERY_BLOCK))
+    spark = vectors.sparkSession
+    v = vectors.where("embedding IS NOT NULL").select("vec_id", F.col("embedding").cast("array<double>").alias("v"))
+    q = queries.where("vector IS NOT NULL").select("query_id", F.col("vector").cast("array<double>").alias("q"))
+    size = q.agg(F.coalesce(F.sum(F.size("q") * 8 + 16), F.lit(0))).first()[0]
+    blocks = max(1, -(-2 * size // BROADCAST_BYTES))  # half full by the mean: hashed blocks differ
+    schema = f"query_id {q.schema['query_id'].dataType.simpleString()}, vec_id {v.schema['vec_id'].dataType.simpleString()}, score double"
 
     def one(b: int) -> DataFrame:
-        mine = q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b).agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-        pairs = v.join(F.broadcast(mine), F.lit(True)).select(
-            "vec_id",
-            F.inline(F.transform("qs", lambda x: F.struct(x["query_id"].alias("query_id"), F.round(dot(x["q"], F.col("v")), 6).alias("score")))),
-        )
-        return ranked(pairs, k, "vec_id")
-
-    return reduce(DataFrame.unionByName, map(one, range(blocks))).select("query_id", "rank", "vec_id", "score")
+        mine = (q if blocks == 1 else q.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == b)).toArrow()
+        sent = spark.sparkContext.broadcast((mine["query_id"].combine_chunks(), _units(mine["q"].combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            ids, asked = sent.value
+            best = None
+            step = max(1, CELLS // max(len(ids), 1))
+            for batch in batches:
+                if best is None:
+                    best = Best(len(ids), k, batch.schema.field(0).type)
+                for part in (batch.slice(i, step) for i in range(0, batch.num_rows, step)):
+                    scores = _units(part.column(1), asked.shape[1]) @ asked.T
+                    best.add(part.column(0), scores, np.ones(scores.shape, bool))
+            if best is not None:
+                t = best.take()
+                yield from pa.table([ids.take(t["q"].combine_chunks()), t["key"], t["score"]], names=["query_id", "vec_id", "score"]).to_batches(10_000)
+
+        return v.mapInArrow(run, schema)
+
+    return ranked(reduce(DataFrame.unionByName, map(one, range(blocks))), k, "vec_id").select("query_id", "rank", "vec_id", "score")
 
 
 def rrf(lists: list[DataFrame], k: int = 20, key: str = "chunk_id", damp: int = 60) -> DataFrame:

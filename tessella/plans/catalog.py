@@ -30,8 +30,14 @@ def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    """``documents``; one of fewer splits than the cluster has cores is dealt out to all of them."""
+    docs, cores = table(spark, d, "documents"), spark.sparkContext.defaultParallelism
+    return docs if docs.rdd.getNumPartitions() >= cores else docs.repartition(cores)
+
+
 def chunks(spark: SparkSession, d: str) -> DataFrame:
-    return chunking.fixed(table(spark, d, "documents").select("doc_id", "text", "source", "lang"))
+    return chunking.fixed(texts(spark, d).select("doc_id", "text", "source", "lang"))
 
 
 def passages(spark: SparkSession, d: str) -> DataFrame:
@@ -54,17 +60,17 @@ def lexical(spark: SparkSession, d: str, k: int | None = 20) -> DataFrame:
     return retrieval.bm25(chunks(spark, d), passages(spark, d), k)
 
 
-def items(spark: SparkSession, d: str, cfg: ContextConfig = ContextConfig()) -> DataFrame:
-    return context.characterize(lexical(spark, d), chunks(spark, d), passages(spark, d), cfg)
+def items(spark: SparkSession, d: str, cfg: ContextConfig = ContextConfig(), pool: DataFrame | None = None) -> DataFrame:
+    return context.characterize(lexical(spark, d) if pool is None else pool, chunks(spark, d), passages(spark, d), cfg)
 
 
 def flat(contexts: DataFrame) -> DataFrame:
     return contexts.withColumn("selected", F.array_join("selected", ","))
 
 
-def built(spark: SparkSession, d: str, strategy: str, budget: int | None = BUDGET) -> DataFrame:
+def built(spark: SparkSession, d: str, strategy: str, budget: int | None = BUDGET, pool: DataFrame | None = None) -> DataFrame:
     cfg = ContextConfig(strategy=strategy, budget=budget)
-    return context.assemble(items(spark, d, cfg), cfg)
+    return context.assemble(items(spark, d, cfg, pool), cfg)
 
 
 # scans, sections, tokens
@@ -134,17 +140,17 @@ def chunk_fixed(spark, d):
 
 @query
 def chunk_verbatim(spark, d):
-    return chunking.verbatim(table(spark, d, "documents")).select("doc_id", "piece", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"))
+    return chunking.verbatim(texts(spark, d)).select("doc_id", "piece", F.md5(F.col("chunk_text").cast("binary")).alias("text_md5"))
 
 
 @query
 def chunk_sentence(spark, d):
-    return chunking.sentence(table(spark, d, "documents"))
+    return chunking.sentence(texts(spark, d))
 
 
 @query
 def chunk_adaptive(spark, d):
-    return chunking.adaptive(table(spark, d, "documents"))
+    return chunking.adaptive(texts(spark, d))
 
 
 @query
@@ -245,8 +251,8 @@ def fuse_weighted(spark, d):
 
 @query
 def min_candidates_topup(spark, d):
-    few = lexical(spark, d, 20).where("score >= 60")
-    return retrieval.top_up(few, lexical(spark, d, 20), 10)
+    pool = lexical(spark, d, 20)
+    return retrieval.top_up(pool.where("score >= 60"), pool, 10)
 
 
 @query
@@ -324,8 +330,8 @@ def score_spread(spark, d):
 
 
 def diagnosed(spark: SparkSession, d: str) -> DataFrame:
-    c = chunks(spark, d)
-    return workload.diagnose(passages(spark, d), lexical(spark, d), built(spark, d, "auto"), workload.vocabulary(c), c.count())
+    c, pool = chunks(spark, d), lexical(spark, d)  # one ranking for both uses
+    return workload.diagnose(passages(spark, d), pool, built(spark, d, "auto", pool=pool), workload.vocabulary(c), c.count())
 
 
 @query
@@ -357,25 +363,27 @@ def rw_vocab_bidirectional(spark, d):
     return table(spark, d, "benchmark").select("item_id", workload.expand(F.col("text"), CLASSES, True).alias("query"))
 
 
-def gold(spark: SparkSession, d: str) -> DataFrame:
+def gold(spark: SparkSession, d: str, pool: DataFrame | None = None) -> DataFrame:
     """(query_id, chunk_id): candidates with nine tenths of the passage's terms."""
-    return items(spark, d).where("grounding >= 0.9").select("query_id", "chunk_id")
+    return items(spark, d, pool=pool).where("grounding >= 0.9").select("query_id", "chunk_id")
 
 
 @query
 def eval_recall_precision(spark, d):
-    return workload.evaluate(built(spark, d, "raw_topk"), gold(spark, d))
+    pool = lexical(spark, d)
+    return workload.evaluate(built(spark, d, "raw_topk", pool=pool), gold(spark, d, pool))
 
 
 @query
 def eval_set_coverage(spark, d):
-    families = gold(spark, d).select("query_id", F.substring_index("chunk_id", ":", 1).alias("family"), "chunk_id")
-    return workload.set_coverage(built(spark, d, "raw_topk", 512), families)
+    pool = lexical(spark, d)
+    families = gold(spark, d, pool).select("query_id", F.substring_index("chunk_id", ":", 1).alias("family"), "chunk_id")
+    return workload.set_coverage(built(spark, d, "raw_topk", 512, pool), families)
 
 
 @query
 def eval_summary(spark, d):
-    return workload.summarize(workload.evaluate(built(spark, d, "raw_topk"), gold(spark, d)))
+    return workload.summarize(eval_recall_precision(spark, d))
 
 
 @query
@@ -412,8 +420,9 @@ def bench_grid(spark, d):
 
 @query
 def recall_at_k(spark, d):
-    g = gold(spark, d).select("query_id", "chunk_id", F.lit(True).alias("is_gold"))
-    hits = lexical(spark, d).join(g, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
+    pool = lexical(spark, d)
+    g = gold(spark, d, pool).select("query_id", "chunk_id", F.lit(True).alias("is_gold"))
+    hits = pool.join(g, ["query_id", "chunk_id"]).groupBy("query_id").agg(F.min("rank").alias("first"))
     rows = passages(spark, d).select("query_id").join(hits, "query_id", "left")
     at = lambda k: F.round(F.avg((F.coalesce("first", F.lit(10**6)) <= k).cast("double")), 6)
     return rows.agg(

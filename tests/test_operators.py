@@ -147,3 +147,49 @@ def test_streams(spark, smallest, tmp_path):
     q = follow(spark, str(tmp_path / "in"), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 1
+
+
+def test_bm25_gives_the_same_rows_by_blocks_and_by_joins(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, "red fish blue fish" if i % 3 else f"red {i} cat", "a b") for i in range(40)] + [(99, None, "b")], "chunk_id long, chunk_text string, h string")
+    q = spark.createDataFrame([("x", "red fish fish"), ("y", "cat 7 b"), ("z", ""), ("w", None)], "query_id string, query string")
+    args = dict(k=5, fields={"text": "chunk_text", "h": "h"}, weights={"h": 2.0}, repeat_terms=True)
+    monkeypatch.setattr(retrieval, "CELLS", 7)
+    blocks = sorted(map(tuple, retrieval.bm25(docs, q, **args).collect()))
+    monkeypatch.setattr(retrieval, "BROADCAST_ROWS", 0)
+    assert blocks == sorted(map(tuple, retrieval.bm25(docs, q, **args).collect())) and len(blocks) == 10
+    assert retrieval.bm25(docs.limit(0), q).count() == 0 and retrieval.bm25(docs, q.limit(0)).count() == 0
+
+
+def test_dense_in_blocks_with_ties_nulls_and_odd_lengths(spark, monkeypatch):
+    rows = [(i, [1.0, float(i % 4), 0.0]) for i in range(30)] + [(90, None), (91, [1.0]), (92, [0.0, 0.0, 0.0]), (93, [1.0, None, 2.0, 5.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    q = spark.createDataFrame([(1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 1.0]), (3, None)], "query_id long, vector array<float>")
+
+    def plain(a, b):
+        a, b = [x or 0.0 for x in a], [x or 0.0 for x in b]
+        norm = lambda x: sum(y * y for y in x) ** 0.5 or 1.0
+        return round(sum(x * y for x, y in zip(a, b, strict=False)) / norm(a) / norm(b), 6)
+
+    want = []
+    for i, x in ((1, [1.0, 0.0, 0.0]), (2, [0.0, 1.0, 1.0])):
+        best = sorted((-plain(x, e), k) for k, e in rows if e is not None)[:9]
+        want += [(i, n + 1, k, -s) for n, (s, k) in enumerate(best)]
+    for size in (retrieval.BROADCAST_BYTES, 40):
+        monkeypatch.setattr(retrieval, "BROADCAST_BYTES", size)
+        assert sorted(map(tuple, retrieval.dense(v, q, 9).collect())) == want
+
+
+def test_best_cuts_to_k_rows_of_each_query(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    from tessella.operators import best
+
+    monkeypatch.setattr(best, "HELD", 20)
+    rng, got, rows = np.random.default_rng(1), best.Best(3, 4, pa.int64()), []
+    for i in range(30):
+        scores, found = rng.integers(0, 5, (6, 3)) / 3, rng.random((6, 3)) < 0.7
+        got.add(pa.array(range(6 * i, 6 * i + 6)), scores, found)
+        rows += [(c, -round(scores[r, c], 6), 6 * i + r) for r in range(6) for c in range(3) if found[r, c]]
+    want = [x for c in range(3) for x in sorted(r for r in rows if r[0] == c)[:4]]
+    assert [(r["q"], -r["score"], r["key"]) for r in got.take().to_pylist()] == want
