@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import chunking, context, measures, retrieval, workload
+from ..operators import chunking, context, expansion, measures, retrieval, workload
 from ..operators.context import ContextConfig
 from ..sources import sections
 
@@ -321,6 +321,24 @@ def expand_heading(spark, d):
     return context.heading_openers(seeds(spark, d), chunks(spark, d))
 
 
+def widened(spark: SparkSession, d: str, automatic: bool) -> DataFrame:
+    c, pool = chunks(spark, d), lexical(spark, d)
+    before = built(spark, d, "auto", 4096, pool)
+    flags = expansion.defaults(pool, c, heading="lang") if automatic else None
+    more = expansion.plan(before, c, 1, True, flags, section=("source", "lang"))
+    return flat(expansion.expanded(before, more, c, 4096)).select("query_id", "selected", "total_tokens", "n_selected", "n_expanded")
+
+
+@query
+def ctx_expanded(spark, d):
+    return widened(spark, d, False)
+
+
+@query
+def ctx_expanded_auto(spark, d):
+    return widened(spark, d, True)
+
+
 # diagnosis, rewriting, evaluation
 
 

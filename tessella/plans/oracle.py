@@ -100,6 +100,24 @@ cx AS (SELECT query_id, sel.strategy, array_to_string(any_value(ids), ',') AS se
   FROM ir JOIN sel USING (query_id) GROUP BY 1, 2)"""
 
 
+def widened(automatic: bool) -> str:
+    code = f"regexp_extract(lower(source), '\\.([a-z0-9]+)$', 1) IN ({names(CODE)})"
+    prose = f"regexp_extract(lower(source), '\\.([a-z0-9]+)$', 1) NOT IN ({names(CODE + DATA)}) AND length(trim(lang)) > 0"
+    near, head = ("coalesce(hc, false)", "coalesce(hh, false)") if automatic else ("true", "true")
+    return f"""WITH {contexts("auto", 4096)},
+fl AS (SELECT query_id, bool_or({code}) AS hc, bool_or({prose}) AS hh FROM ca JOIN ch USING (chunk_id) GROUP BY 1),
+sd AS (SELECT query_id, seed, nth, doc_id, piece, source, lang, hc, hh FROM (SELECT query_id, unnest(ids) AS seed, unnest(range(len(ids))) AS nth FROM sel) JOIN ch ON chunk_id = seed JOIN fl USING (query_id)),
+fo AS (SELECT source, lang, arg_min(chunk_id, (doc_id, piece)) AS companion FROM ch WHERE source IS NOT NULL AND lang IS NOT NULL GROUP BY 1, 2),
+pl AS (SELECT query_id, ch.chunk_id AS companion, nth * 3 + CASE WHEN ch.piece < sd.piece THEN 0 ELSE 1 END AS o FROM sd JOIN ch ON ch.doc_id = sd.doc_id AND abs(ch.piece - sd.piece) = 1 WHERE {near}
+  UNION ALL SELECT query_id, companion, nth * 3 + 2 FROM sd JOIN fo USING (source, lang) WHERE companion <> seed AND {head}),
+fr AS (SELECT query_id, companion, min(o) AS o FROM pl JOIN sel USING (query_id) WHERE NOT list_contains(ids, companion) GROUP BY 1, 2),
+ml AS (SELECT query_id, list({{'used': token_count::BIGINT, 'ids': [companion]}} ORDER BY o) AS l FROM fr JOIN ch ON chunk_id = companion GROUP BY 1),
+ex AS (SELECT query_id, ids, list_reduce(coalesce(l, []), lambda a, y: CASE WHEN a.used + y.used <= 4096 THEN {{'used': a.used + y.used, 'ids': list_concat(a.ids, y.ids)}} ELSE a END,
+  {{'used': used::BIGINT, 'ids': []::VARCHAR[]}}) AS f FROM sel LEFT JOIN ml USING (query_id)),
+so AS (SELECT query_id, string_agg(chunk_id, ',' ORDER BY doc_id, piece) AS placed FROM (SELECT query_id, unnest(list_concat(ids, f.ids)) AS chunk_id FROM ex) JOIN ch USING (chunk_id) GROUP BY 1)
+SELECT query_id, CASE WHEN len(f.ids) > 0 THEN placed ELSE array_to_string(ids, ',') END AS selected, f.used AS total_tokens, (len(ids) + len(f.ids))::BIGINT AS n_selected, len(f.ids)::BIGINT AS n_expanded FROM ex LEFT JOIN so USING (query_id)"""
+
+
 AUTO = contexts("auto", 2048)
 RAW = contexts("raw_topk", 2048)
 TEXT = "tx AS (SELECT query_id, string_agg(chunk_text, chr(10) || chr(10) ORDER BY ord) AS context FROM (SELECT query_id, unnest(ids) AS chunk_id, unnest(range(len(ids))) AS ord FROM sel) JOIN ch USING (chunk_id) GROUP BY 1)"
@@ -179,6 +197,8 @@ SELECT (SELECT count(*) FROM q) AS n_queries, share, array_to_string(bp, ',') AS
     "ctx_preserve_order": "SELECT conv_id, turn, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS ord FROM conversations",
     "expand_neighbors": f"WITH {AUTO}, sd AS (SELECT query_id, unnest(ids) AS seed FROM sel) SELECT query_id, seed, b.chunk_id AS companion, (b.piece - a.piece)::BIGINT AS dist FROM sd JOIN ch a ON a.chunk_id = seed JOIN ch b ON a.doc_id = b.doc_id AND abs(b.piece - a.piece) BETWEEN 1 AND 2",
     "expand_heading": f"WITH {AUTO}, sd AS (SELECT query_id, unnest(ids) AS seed FROM sel), fo AS (SELECT source, lang, arg_min(chunk_id, (doc_id, piece)) AS companion FROM ch GROUP BY 1, 2) SELECT query_id, seed, companion FROM sd JOIN ch ON chunk_id = seed JOIN fo USING (source, lang) WHERE seed <> companion",
+    "ctx_expanded": widened(False),
+    "ctx_expanded_auto": widened(True),
     "score_spread": f"WITH {CA}, {SPREAD} SELECT * FROM sp",
     "diag_hints": f"WITH {DIAG} SELECT * FROM dg",
     "diag_summary": f"""WITH {DIAG}, s AS (SELECT count(*) AS n_queries, {', '.join(f"round(count(*) FILTER (contains(hints, '{h}')) / count(*), 6) AS {a}" for h, a in (('empty_context', 'empty_rate'), ('vocab_mismatch', 'vocab_rate'), ('low_confidence', 'low_rate'), ('low_discrimination_query', 'templated_rate'), ('underdetermined_query', 'under_rate')))}, round(avg(score_spread), 6) AS mean_spread FROM dg)
