@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import grounding, jaccard, share, tokens
+from ..functions.text import cosine, grounding, jaccard, share, tokens
 
 STRATEGIES = ("raw_topk", "distractor_filtered", "redundancy_pruned", "max_density", "reasoning_preserving", "auto")
 
@@ -20,6 +20,7 @@ class ContextConfig:
     budget: int | None = 8192
     min_grounding: float = 0.10
     max_similarity: float = 0.9
+    max_cosine: float = 0.92
     min_link: float = 0.12
     auto_gate: int = 1500
     low_confidence: float = 0.10
@@ -31,11 +32,15 @@ class ContextConfig:
 
 
 def characterize(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, cfg: ContextConfig = ContextConfig(), key: str = "chunk_id") -> DataFrame:
-    """Candidates with terms, grounding, density and the distractor flag; grounding is rounded to 6 places."""
+    """Candidates with terms, grounding, density and the distractor flag; grounding is rounded to 6 places.
+
+    An ``embedding`` of the chunks goes along.
+    """
     from .retrieval import small
 
     q = queries.select("query_id", F.array_distinct(tokens(F.col("query"))).alias("q_terms"))
-    rows = candidates.join(chunks.select(key, "chunk_text", F.greatest("token_count", F.lit(1)).alias("token_count")), key)
+    vector = [c for c in ("embedding",) if c in chunks.columns]
+    rows = candidates.join(chunks.select(key, "chunk_text", F.greatest("token_count", F.lit(1)).alias("token_count"), *vector), key)
     rows = rows.join(small(q), "query_id").withColumn("toks", tokens(F.col("chunk_text")))
     hits = F.size(F.filter("toks", lambda t: F.array_contains("q_terms", t)))
     out = rows.select(
@@ -49,24 +54,33 @@ def characterize(candidates: DataFrame, chunks: DataFrame, queries: DataFrame, c
         F.array_distinct("toks").alias("terms"),
         F.round(grounding(F.col("q_terms"), F.col("toks")), 6).alias("grounding"),
         F.round(share(hits, F.col("token_count")), 6).alias("density"),
+        *vector,
     )
     return out.withColumn("is_distractor", F.col("grounding") < cfg.min_grounding)
 
 
 def _fill(items: Column, cfg: ContextConfig, prune: Column) -> Column:
-    """Greedy fill in order: what doesn't fit, or repeats what is in, is passed over."""
+    """Greedy fill in order: what doesn't fit, or repeats what is in, is passed over.
+
+    Two items with vectors are told apart by their cosine, others by their terms.
+    """
     budget = F.lit(cfg.budget if cfg.budget is not None else 2**62).cast("long")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"), F.array().cast("array<array<string>>").alias("terms"))
+    kept = F.array().cast("array<struct<terms:array<string>,v:array<double>>>").alias("kept")
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast("array<string>").alias("ids"), kept)
+
+    def alike(t: Column, x: Column) -> Column:
+        dense = t["v"].isNotNull() & x["v"].isNotNull()
+        return F.when(dense, cosine(t["v"], x["v"]) > cfg.max_cosine).otherwise(jaccard(t["terms"], x["terms"]) >= cfg.max_similarity)
 
     def step(a: Column, x: Column) -> Column:
         fits = a["used"] + x["token_count"] <= budget
-        fresh = ~prune | ~F.exists(a["terms"], lambda t: jaccard(t, x["terms"]) >= cfg.max_similarity)
+        fresh = ~prune | ~F.exists(a["kept"], lambda t: alike(t, x))
         return F.when(
             fits & fresh,
             F.struct(
                 (a["used"] + x["token_count"]).alias("used"),
                 F.concat(a["ids"], F.array(x["id"])).alias("ids"),
-                F.when(prune, F.concat(a["terms"], F.array(x["terms"]))).otherwise(a["terms"]).alias("terms"),
+                F.when(prune, F.concat(a["kept"], F.array(F.struct(x["terms"].alias("terms"), x["v"].alias("v"))))).otherwise(a["kept"]).alias("kept"),
             ),
         ).otherwise(a)
 
@@ -78,8 +92,9 @@ def assemble(items: DataFrame, cfg: ContextConfig = ContextConfig(), key: str =
 
     A query's candidates, at most the retriever's ``k``, are gathered in one row; texts stay out of it.
     """
+    vector = (F.col("embedding") if "embedding" in items.columns else F.lit(None)).cast("array<double>").alias("v")
     item = F.struct(
-        "rank", F.col(key).alias("id"), F.col("token_count").cast("long").alias("token_count"), "grounding", "density", "is_distractor", "terms"
+        "rank", F.col(key).alias("id"), F.col("token_count").cast("long").alias("token_count"), "grounding", "density", "is_distractor", "terms", vector
     )
     per = items.groupBy("query_id").agg(
         F.sort_array(F.collect_list(item)).alias("all"),
@@ -168,6 +183,34 @@ def economics(items: DataFrame) -> DataFrame:
     )
 
 
+def spread_of_vectors(items: DataFrame, budget: int) -> DataFrame:
+    """(query_id, mean_cosine, utilisation): the mean over all pairs of a query's candidates with vectors, null under two, and tokens for each one of the budget."""
+    t = F.col("token_count").cast("long")
+    per = items.groupBy("query_id").agg(F.sum(t).alias("tokens"), F.sort_array(F.collect_list(F.when(F.col("embedding").isNotNull(), F.struct("rank", F.col("embedding").cast("array<double>").alias("v"))))).alias("l"))
+    later = lambda i: F.filter("l", lambda y, j: j > i)
+    pairs = F.flatten(F.transform("l", lambda x, i: F.transform(later(i), lambda y: cosine(x["v"], y["v"]))))
+    mean = F.when(F.size("l") > 1, F.aggregate(pairs, F.lit(0.0), lambda a, x: a + x) / F.size(pairs))
+    return per.select("query_id", F.round(mean, 5).alias("mean_cosine"), F.round(share(F.col("tokens"), F.lit(budget)), 6).alias("utilisation"))
+
+
+def render(contexts: DataFrame) -> DataFrame:
+    """(query_id, report): one text for each row of :func:`assemble`."""
+    line = lambda name, *parts: F.concat_ws(" ", F.lit(f"{name}:"), *parts)
+    percent = lambda c: F.concat(F.round(100 * F.col(c)).cast("int").cast("string"), F.lit("%"))
+    kept = F.concat(F.col("n_selected").cast("string"), F.lit(" of "), F.col("n_input").cast("string"))
+    tokens_ = F.concat(F.col("total_tokens").cast("string"), F.lit(" of "), F.col("input_tokens").cast("string"))
+    warning = F.when(F.col("n_selected") == 0, "warning: the context is empty").when(F.col("low_confidence"), "warning: no chunk holds much of the query")
+    lines = [line("strategy", F.col("strategy")), line("chunks", kept), line("tokens", tokens_), line("distractors", percent("distractor_ratio")), line("evidence retained", percent("retained")), warning]
+    return contexts.select("query_id", F.concat_ws("\n", *lines).alias("report"))
+
+
+def citations(contexts: DataFrame, chunks: DataFrame, key: str = "chunk_id") -> DataFrame:
+    """(query_id, ord, key, ...): where each chosen chunk is from, by the columns among source, page, heading and line that there are."""
+    places = [c for c in ("source", "page", "heading", "line") if c in chunks.columns]
+    rows = contexts.select("query_id", F.posexplode("selected").alias("ord", key))
+    return rows.join(chunks.select(key, *places), key, "left").select("query_id", "ord", key, *places)
+
+
 def selected_rows(contexts: DataFrame) -> DataFrame:
     """(query_id, ord, chunk_id) of every chosen chunk."""
     return contexts.select("query_id", F.posexplode("selected").alias("ord", "chunk_id"))

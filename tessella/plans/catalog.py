@@ -286,6 +286,29 @@ for _name in context.STRATEGIES:
     _strategy(_name)
 
 
+def embedded_items(spark: SparkSession, d: str) -> DataFrame:
+    """Candidates with the vector of their document, where it has one."""
+    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
+    rows = items(spark, d).withColumn("doc_id", F.substring_index("chunk_id", ":", 1).cast("long"))
+    return rows.join(v, "doc_id", "left").drop("doc_id")
+
+
+@query
+def ctx_redundancy_cosine(spark, d):
+    cfg = ContextConfig(strategy="redundancy_pruned", budget=BUDGET)
+    return flat(context.assemble(embedded_items(spark, d), cfg))
+
+
+@query
+def ctx_vector_spread(spark, d):
+    return context.spread_of_vectors(embedded_items(spark, d), BUDGET)
+
+
+@query
+def ctx_report(spark, d):
+    return context.render(built(spark, d, "auto"))
+
+
 @query
 def ctx_filter(spark, d):
     return flat(built(spark, d, "distractor_filtered", None))

@@ -74,23 +74,28 @@ def grams(x: str, low: int, high: int) -> str:
     return f"(SELECT CASE WHEN trim(s) = '' THEN []::VARCHAR[] ELSE {each} END FROM (SELECT {s} AS s))"
 
 
-def contexts(strategy: str, budget: int | None) -> str:
+def contexts(strategy: str, budget: int | None, vectors: bool = False) -> str:
     pick = {"raw_topk": "rank", "max_density": "-density, rank", "distractor_filtered": "rank", "redundancy_pruned": "rank"}
     order = pick.get(strategy, "CASE WHEN strategy = 'raw_topk' THEN 0 ELSE is_distractor::INT END, CASE WHEN strategy = 'raw_topk' THEN 0 ELSE -grounding END, rank")
     keep = "NOT is_distractor" if strategy == "distractor_filtered" else "(strategy = 'raw_topk' OR NOT is_distractor OR is_rescued)" if strategy in ("auto", "reasoning_preserving") else "true"
     resolved = "CASE WHEN input_tokens <= 1500 THEN 'raw_topk' ELSE 'reasoning_preserving' END" if strategy == "auto" else f"'{strategy}'"
     fresh = f"len(list_filter(a.terms, lambda u: {jac('u', 'x.terms')} >= 0.9)) = 0" if strategy == "redundancy_pruned" else "true"
+    held, none, more = "terms", "[]::VARCHAR[][]", ""
+    if vectors:
+        held, none = "{'t': terms, 'v': embedding::DOUBLE[]}", "[]::STRUCT(t VARCHAR[], v DOUBLE[])[]"
+        more = " LEFT JOIN embeddings ON vec_id = split_part(chunk_id, ':', 1)::BIGINT"
+        fresh = f"len(list_filter(a.terms, lambda u: CASE WHEN u.v IS NOT NULL AND x.terms.v IS NOT NULL THEN list_cosine_similarity(u.v, x.terms.v) > 0.92 ELSE {jac('u.t', 'x.terms.t')} >= 0.9 END)) = 0"
     most = 2**62 if budget is None else budget
     return f"""{IT},
 se AS (SELECT query_id, list(terms) AS st FROM it WHERE NOT is_distractor GROUP BY 1),
 tot AS (SELECT query_id, sum(token_count) AS input_tokens FROM it GROUP BY 1),
 ir AS (SELECT it.*, {resolved} AS strategy, is_distractor AND len(list_filter(coalesce(st, []), lambda u: {jac('u', 'it.terms')} >= 0.12)) > 0 AS is_rescued
   FROM it JOIN tot USING (query_id) LEFT JOIN se USING (query_id)),
-od AS (SELECT query_id, list({{'id': chunk_id, 'tc': token_count::BIGINT, 'terms': terms}} ORDER BY {order}) AS l FROM ir WHERE {keep} GROUP BY 1),
+od AS (SELECT query_id, list({{'id': chunk_id, 'tc': token_count::BIGINT, 'terms': {held}}} ORDER BY {order}) AS l FROM ir{more} WHERE {keep} GROUP BY 1),
 fi AS (SELECT query_id, list_reduce(list_transform(l, lambda x: {{'used': x.tc, 'ids': [x.id], 'terms': [x.terms]}}),
   lambda a, y: CASE WHEN a.used + y.used <= {most} AND len(list_filter(y.terms, lambda v: {fresh.replace('x.terms', 'v')})) > 0
     THEN {{'used': a.used + y.used, 'ids': list_concat(a.ids, y.ids), 'terms': list_concat(a.terms, y.terms)}} ELSE a END,
-  {{'used': 0::BIGINT, 'ids': []::VARCHAR[], 'terms': []::VARCHAR[][]}}) AS f FROM od),
+  {{'used': 0::BIGINT, 'ids': []::VARCHAR[], 'terms': {none}}}) AS f FROM od),
 sel AS (SELECT query_id, any_value(strategy) AS strategy, coalesce(any_value(f).ids, []) AS ids, coalesce(any_value(f).used, 0) AS used FROM ir LEFT JOIN fi USING (query_id) GROUP BY 1),
 cx AS (SELECT query_id, sel.strategy, array_to_string(any_value(ids), ',') AS selected, count(*) AS n_input, sum(token_count)::BIGINT AS input_tokens,
   len(any_value(ids))::BIGINT AS n_selected, any_value(used)::BIGINT AS total_tokens, count(*) FILTER (is_distractor) AS n_distractors,
@@ -191,6 +196,9 @@ SELECT (SELECT count(*) FROM q) AS n_queries, share, array_to_string(bp, ',') AS
     "rerank_lexical": rerank("lexical"),
     "rerank_density": rerank("density"),
     **{f"ctx_{s}": f"WITH {contexts(s, 2048)} SELECT * FROM cx" for s in ("raw_topk", "distractor_filtered", "redundancy_pruned", "max_density", "reasoning_preserving", "auto")},
+    "ctx_redundancy_cosine": f"WITH {contexts('redundancy_pruned', 2048, True)} SELECT * FROM cx",
+    "ctx_vector_spread": f"WITH {IT}, ve AS (SELECT it.*, embedding::DOUBLE[] AS v FROM it LEFT JOIN embeddings ON vec_id = split_part(chunk_id, ':', 1)::BIGINT), pa AS (SELECT a.query_id, avg(list_cosine_similarity(a.v, b.v)) AS c FROM ve a JOIN ve b ON a.query_id = b.query_id AND a.rank < b.rank WHERE a.v IS NOT NULL AND b.v IS NOT NULL GROUP BY 1) SELECT query_id, round(any_value(c), 5) AS mean_cosine, round(sum(token_count) / 2048, 6) AS utilisation FROM it LEFT JOIN pa USING (query_id) GROUP BY 1",
+    "ctx_report": f"WITH {AUTO} SELECT query_id, 'strategy: ' || strategy || chr(10) || 'chunks: ' || n_selected || ' of ' || n_input || chr(10) || 'tokens: ' || total_tokens || ' of ' || input_tokens || chr(10) || 'distractors: ' || round(100 * distractor_ratio)::INT || '%' || chr(10) || 'evidence retained: ' || round(100 * retained)::INT || '%' || CASE WHEN n_selected = 0 THEN chr(10) || 'warning: the context is empty' WHEN low_confidence THEN chr(10) || 'warning: no chunk holds much of the query' ELSE '' END AS report FROM cx",
     "ctx_filter": f"WITH {contexts('distractor_filtered', None)} SELECT * FROM cx",
     "ctx_economics": f"WITH {IT} SELECT query_id, sum(token_count)::BIGINT AS total_tokens, round(coalesce(sum(token_count) FILTER (NOT is_distractor), 0) / sum(token_count), 6) AS relevant_share, round(count(*) FILTER (is_distractor) / count(*), 6) AS distractor_ratio, coalesce(sum(token_count) FILTER (is_distractor), 0)::BIGINT AS waste_tokens, round(avg(density), 6) AS mean_density FROM it GROUP BY 1",
     "ctx_text": f"WITH {AUTO}, {TEXT} SELECT query_id, md5(context) AS context_md5 FROM tx",
