@@ -127,6 +127,36 @@ def adaptive(docs: DataFrame, target: int = 256, most: int = 384, cohesion: floa
     return sentence(docs, target, most, 0, cohesion, key, text)
 
 
+def by_sections(sections: DataFrame, target: int = 128, most: int = 256, overlap: int = 1) -> DataFrame:
+    """(chunk_id, source, section_idx, piece, chunk_text, token_count, kind, heading, page, line) of (source, section_idx, text, heading, page, line).
+
+    Prose is packed by sentences, code and data by whole lines, each section on its own: no chunk
+    crosses sections, and each bears its section's marks.  Columns that ``sections`` lacks are null.
+    Null and blank texts give no rows; tokens are counted as in :func:`fixed`.
+    """
+    from ..sources.sections import kind
+
+    types = {"source": "string", "section_idx": "long", "heading": "string", "page": "int", "line": "int"}
+    marks = [(F.col(c) if c in sections.columns else F.lit(None)).cast(t).alias(c) for c, t in types.items()]
+    # the marks travel as one value, so that nothing has to be joined
+    rows = sections.select(F.to_json(F.struct(*marks)).alias("_m"), kind(F.col("source")).alias("kind"), "text")
+    prose = sentence(rows.where("kind = 'prose'"), target, most, overlap, key="_m").select("_m", "piece", "chunk_text")
+    other = verbatim(rows.where("kind <> 'prose'"), most, "_m").select("_m", F.col("piece").cast("int").alias("piece"), "chunk_text")
+    both = prose.unionByName(other).withColumn("m", F.from_json("_m", ", ".join(f"{c} {t}" for c, t in types.items())))
+    return both.where(F.length(F.trim("chunk_text")) > 0).select(
+        F.concat_ws(":", "m.source", "m.section_idx", "piece").alias("chunk_id"),
+        "m.source",
+        "m.section_idx",
+        "piece",
+        "chunk_text",
+        F.size(F.regexp_extract_all("chunk_text", F.lit(r"[\p{L}\p{N}]+"), F.lit(0))).alias("token_count"),
+        kind(F.col("m.source")).alias("kind"),
+        "m.heading",
+        "m.page",
+        "m.line",
+    )
+
+
 def chunk_index(chunks: DataFrame, source: str = "source", *order: str) -> DataFrame:
     """Running number of each chunk within its source."""
     return chunks.withColumn("chunk_index", F.row_number().over(Window.partitionBy(source).orderBy(*order)) - 1)

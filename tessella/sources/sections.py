@@ -82,3 +82,36 @@ def markdown(docs: DataFrame, key: str, text: str) -> DataFrame:
     )
     out = got.select(key, "section_idx", "heading", "line", F.array_join(F.transform("c", lambda x: x["content"]), "\n").alias("section"))
     return out.where(F.length(F.trim("section")) > 0)
+
+
+def markdown_sections(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, section_idx, heading, line, section): headings of both styles, without YAML front matter.
+
+    A section starts at its heading, which it keeps without a Setext underline (three or more ``=``
+    or ``-`` below a line of text).  Front matter is what stands between a first line ``---`` and the
+    next one; unclosed, it is text.  Texts without any heading go by :func:`line_blocks`' rule, one
+    section for each stretch between blank lines.  Null texts and blank sections give no rows.
+    """
+    per = Window.partitionBy(key)
+    order = per.orderBy("line")
+    fence = F.col("content").rlike(r"^---\s*$")
+    rows = lines(docs, key, text).withColumn("_end", F.min(F.when(fence & (F.col("line") > 1), F.col("line"))).over(per))
+    rows = rows.withColumn("_open", F.bool_or(fence & (F.col("line") == 1)).over(per)).where(~F.col("_open") | F.col("_end").isNull() | (F.col("line") > F.col("_end")))
+    atx = F.col("content").rlike(r"^#{1,6}\s+\S")
+    plain = (F.length(F.trim("content")) > 0) & ~atx
+    rows = rows.withColumn("_rule", F.col("content").rlike(r"^(?:={3,}|-{3,})\s*$") & F.coalesce(F.lag(plain).over(order), F.lit(False)))
+    # a rule below a rule underlines nothing
+    rows = rows.withColumn("_rule", F.col("_rule") & ~F.coalesce(F.lag("_rule").over(order), F.lit(False)))
+    rows = rows.withColumn("_setext", F.coalesce(F.lead("_rule").over(order), F.lit(False)) & plain & ~F.col("_rule"))
+    rows = rows.where(~F.col("_rule")).withColumn("_head", atx | F.col("_setext"))
+    name = F.when(atx, F.regexp_extract("content", r"^#{1,6}\s+(.*?)\s*#*\s*$", 1)).when(F.col("_setext"), F.trim("content"))
+    blank = F.length(F.trim("content")) == 0
+    opens = F.when(F.bool_or("_head").over(per), F.col("_head")).otherwise(blank)
+    marked = rows.withColumn("section_idx", F.sum(opens.cast("long")).over(order)).withColumn("_h", name)
+    got = marked.groupBy(key, "section_idx").agg(
+        F.max(F.when(F.col("_head"), F.col("_h"))).alias("heading"),
+        F.min(F.when(~blank, F.col("line"))).alias("line"),
+        F.sort_array(F.collect_list(F.struct("line", "content"))).alias("c"),
+    )
+    body = F.regexp_replace(F.array_join(F.transform("c", lambda x: x["content"]), "\n"), r"^\n+|\s+$", "")
+    return got.select(key, "section_idx", "heading", "line", body.alias("section")).where(F.length(F.trim("section")) > 0)
