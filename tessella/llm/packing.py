@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import TwoGenerations, prepare
+from .common import TwoGenerations, prepare, trim
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, WINDOW)
@@ -257,5 +257,6 @@ def pack_documents(
             yield flush()
         packer.finish()
         yield flush()
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)
