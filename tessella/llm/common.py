@@ -127,6 +127,20 @@ class TwoGenerations:
             self.young, self.old = {}, self.young
 
 
+def labelled(labels: DataFrame, label: str, out_fold: tuple[int, int]) -> DataFrame:
+    """(_l, y): each labelled id that is not held out, once.
+
+    ``out_fold``: (modulus, remainder) of ids that are held out.  Several labels of an id count
+    as their largest; null ids and null labels play no part.
+    """
+    modulus, out = out_fold
+    return (
+        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", modulus) != out))
+        .groupBy(F.col("doc_id").cast("long").alias("_l"))
+        .agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
+    )
+
+
 def labelled_sample(
     docs: DataFrame,
     labels: DataFrame,
@@ -136,19 +150,12 @@ def labelled_sample(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> tuple[DataFrame, dict[int, int]]:
-    """(doc_id, text, y) of about ``per_class`` labelled rows of each class, and the class sizes.
+    """(doc_id, text, y) of about ``per_class`` rows of each class of ``labelled``, and the class sizes.
 
-    ``out_fold``: (modulus, remainder) of ids that are held out.  A hash of the id picks the
-    rows, so every run picks the same; several labels of an id count as their largest; null ids
-    and null labels play no part.  The picked ids number about ``2 * per_class`` at any size of
-    the input, which bounds what is broadcast.
+    A hash of the id picks the rows, so every run picks the same.  The picked ids number about
+    ``2 * per_class`` at any size of the input, which bounds what is broadcast.
     """
-    modulus, out = out_fold
-    known = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", modulus) != out))
-        .groupBy(F.col("doc_id").cast("long").alias("_l"))
-        .agg(F.max((F.col(label) == 1).cast("int")).alias("y"))
-    )
+    known = labelled(labels, label, out_fold)
     sizes = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
     share = F.lit(0.0)
     for y, n in sizes.items():
@@ -173,3 +180,26 @@ def logistic(x, y, weight, l2: float = 1e-2, steps: int = 40):
         if np.abs(step).max() < 1e-6:
             break
     return w
+
+
+def least(at: Callable, w, steps: int = 60):
+    """Where a convex function is least, by Newton steps that never raise it.
+
+    ``at(w)`` gives its value, gradient and curvature; the curvature may be approximate.
+    """
+    import numpy as np
+
+    value, slope, curve = at(w)
+    for _ in range(steps):
+        step = np.linalg.solve(curve, slope)
+        size = np.abs(step).max()
+        if size < 1e-5:
+            return w - step
+        step *= min(1.0, 5 / size)
+        for _ in range(20):
+            new = at(w - step)
+            if new[0] <= value + 1e-10 * (1 + abs(value)):
+                break
+            step = step / 2
+        w, (value, slope, curve) = w - step, new
+    return w

@@ -461,6 +461,35 @@ def test_quality_quantile_and_filter(spark, odd, nothing):
     assert quality.filter_documents(nothing, model).count() == 0 and model.texts([]).shape == (0,)
 
 
+def test_quality_learns_from_all(spark):
+    """Means, pairs and threshold are those of all labelled documents, held against plain versions."""
+    rng = random.Random(11)
+    rows = []
+    for i in range(14_000):
+        y = int(rng.random() < 0.8)
+        words = ["".join(rng.choice("aeinrst") for _ in range(rng.randint(1, 7 + y))) for _ in range(rng.randint(1, 12 + 3 * y))]
+        rows.append((i, " ".join(words) + rng.choice(["", ".", "!", " 12", " A"] if y else ["", "##", "||", " 12", "\n\n"]), y))
+    docs = spark.createDataFrame([r[:2] for r in rows] + [(rows[0][0], rows[0][1])], "doc_id long, text string")
+    labels = spark.createDataFrame([(r[0], r[2]) for r in rows], "doc_id long, quality int")
+    learned = [r for r in [*rows, rows[0]] if zlib.crc32(str(r[0]).encode()) % 4 != 2]
+    x, y = np.array([quality.features(r[1]) for r in learned]), np.array([r[2] for r in learned])
+    got = quality.train(docs, labels)
+    assert np.allclose(got.mean, x.mean(0), rtol=1e-12) and np.allclose(got.scale, np.maximum(x.std(0), 1e-9), rtol=1e-9)
+    z = np.clip((x - x.mean(0)) / np.maximum(x.std(0), 1e-9), -8, 8)
+    good, bad = z[y == 1], z[y == 0]
+    p = 1 / (1 + np.exp((good @ got.weights)[:, None] - bad @ got.weights))
+    slope = (p.sum(0) @ bad - p.sum(1) @ good) / p.size + got.weights / quality.PRIOR
+    assert len(good) > 8000 and np.abs(slope).max() < 1e-7
+    s = got.raw(x)
+    shares = [((s < t) & (y == 0)).sum() / len(bad) - ((s < t) & (y == 1)).sum() / len(good) for t in (got.threshold, *np.quantile(s, np.linspace(0, 1, 400)))]
+    assert shares[0] >= max(shares) and abs(got.quantile - (s < got.threshold).mean()) < 1e-9
+    held = quality.fit(x, y, {0: len(bad), 1: len(good)})
+    assert np.allclose(held.score(x), got.score(x), atol=1e-6)
+    q = quality.train(docs, labels, quantile=0.3)
+    s = q.raw(x)
+    assert (s < q.threshold).mean() <= 0.3 < (s <= s[s > q.threshold].min()).mean()
+
+
 def test_rules_filter(odd, nothing, spark):
     good = "The cat and the dog went to the house on the hill, and " * 6
     words = " ".join(f"word{i} the thing{i}" for i in range(40))
