@@ -112,13 +112,12 @@ class TwoGenerations:
         """Words to compute; those found in the old generation move to the young."""
         out = []
         young, old = self.young, self.old
-        for w in words:
-            if w not in young:
-                v = old.get(w)
-                if v is None:
-                    out.append(w)
-                else:
-                    young[w] = v
+        for w in words.difference(young):
+            v = old.get(w)
+            if v is None:
+                out.append(w)
+            else:
+                young[w] = v
         return out
 
     def age(self) -> None:

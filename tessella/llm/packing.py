@@ -25,71 +25,92 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .common import TwoGenerations, prepare
+from .hashing import groups
 
 WINDOW = 2048
 TIERS = (256, 512, 1024, WINDOW)
 END_ID = 1
 #: Tokens of a step group, and rests that a packing round holds in memory.
 STEP_TOKENS, ROUND = 16 * WINDOW, 4096
-#: Words in each generation of the cache: a worker keeps about 60 MB of them.
-CACHE_WORDS = 200_000
-LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+")
+#: Words in each generation of the cache, and characters of text whose words are held at a time.
+CACHE_WORDS, PART = 200_000, 1 << 20
+#: How the tokenizer divides normalized texts, and the same for lower-cased Latin-1.
+DIVIDED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+WORD = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa00-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
+LETTERS = re.compile("[a-zªµºß-öø-ÿ]+").fullmatch
+#: With which special tokens begin.
+MARK = "<|"
 #: Characters that split() drops but the tokenizer keeps.
 KEPT = "\x1c\x1d\x1e\x1f"
 
 
 class WordTokenizer:
-    """Ids of whole texts from cached ids of their white-space-delimited stretches."""
+    """Ids of whole texts from cached ids of their words, as the tokenizer divides them.
+
+    Latin-1 texts are divided here, lower-cased; of other texts, the white-space-delimited stretches
+    that are Latin-1 are.  All other stretches, and those that may hold a special token, are
+    words of their own, which the tokenizer normalizes and divides.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        spec = json.loads(self.tokenizer.to_str())
-        rules = spec.get("normalizer") or {}
-        kinds = [n["type"] for n in rules.get("normalizers", [rules]) if n]
-        if spec["model"].get("end_of_word_suffix") != "</w>" or "Lowercase" not in kinds:
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        if spec["model"].get("end_of_word_suffix") != "</w>" or "Lowercase" not in kinds(spec, "normalizer"):
             raise ValueError("words can be cached only for a lower-casing tokenizer whose tokens mark the ends of words")
+        split = spec["pre_tokenizer"] or {}
+        first = (split.get("pretokenizers") or [split])[0]
+        added = [t["content"] for t in spec["added_tokens"]]
+        self.divides = (
+            set(kinds(spec, "normalizer")) <= {"NFC", "Lowercase", "Replace"}
+            and [n["pattern"] for n in steps(spec, "normalizer") if n["type"] == "Replace"] in ([], [{"Regex": "\\s+"}])
+            and kinds(spec, "pre_tokenizer") == ["Split", "ByteLevel"]
+            and (first.get("pattern"), first.get("behavior"), first.get("invert")) == ({"Regex": DIVIDED}, "Removed", True)
+            and all(t.startswith(MARK) for t in added)
+        )
+        #: For words of lower-case letters, with the same model: nothing to normalize, spaces between them.
+        self.plain = Tokenizer(self.tokenizer.model)
+        self.plain.pre_tokenizer = pre_tokenizers.Sequence(
+            [pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)]
+        )
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.cache = TwoGenerations(CACHE_WORDS)
 
+    def words(self, text: str) -> list[str]:
+        if self.divides and latin(text):
+            return WORD.findall(text.lower())
+        stretches = text.split(" ") if any(c in text for c in KEPT) else text.split()
+        if not self.divides:
+            return stretches
+        return [w for p in stretches for w in (WORD.findall(p.lower()) if latin(p) else [p])]
+
     def learn(self, new: list[str]) -> None:
-        """Put the ids of new stretches into the cache.
+        """Put the ids of new words into the cache.
 
-        Lower-case Latin letters are one word of the tokenizer, and a full stop or comma after
-        them is another; such words are encoded as one text, where each ends with a token
-        that closes a word.  All other stretches are encoded one by one.
+        Words of lower-case Latin letters are encoded as one text, where each ends with a token
+        that closes a word.  All others are encoded one by one.
         """
-        known, plain, other = self.cache.young, {}, []
-        for p in new:
-            core = p[:-1] if p[-1] in ".," else p
-            if core.isalpha() and (core.isascii() or LATIN.fullmatch(core)):
-                core = core.lower()
-                plain[core] = known.get(core)
-            else:
-                other.append(p)
-        fresh = [w for w, ids in plain.items() if ids is None]
-        for lo in range(0, len(fresh), 4096):
-            part = fresh[lo : lo + 4096]
-            ids = np.array(self.tokenizer.encode(" ".join(part), add_special_tokens=False).ids, "<u4")
+        known, letters = self.cache.young, []
+        if self.divides:
+            letters = [w for w in new if LETTERS(w)]
+            new = [w for w in new if not LETTERS(w)]
+        for lo in range(0, len(letters), 4096):
+            part = letters[lo : lo + 4096]
+            ids = np.array(self.plain.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, "<u4")
             cut = np.flatnonzero(self.ends[ids]) + 1
             if len(cut) == len(part) and cut[-1] == len(ids):
                 raw, at = ids.tobytes(), 0
                 for w, end in zip(part, (cut * 4).tolist(), strict=True):
-                    plain[w], at = raw[at:end], end
+                    known[w], at = raw[at:end], end
             else:
-                plain.update(zip(part, self.one_by_one(part), strict=True))
-        other += [p for p in (".", ",") if p not in known]
-        known.update(zip(other, self.one_by_one(other), strict=True))
-        stops = {".": known["."], ",": known[","]}
-        for p in new:
-            if p not in known:
-                core = p[:-1] if p[-1] in stops else p
-                known[p] = plain[core.lower()] + (stops[p[-1]] if core is not p else b"")
+                known.update(zip(part, self.one_by_one(part), strict=True))
+        known.update(zip(new, self.one_by_one(new), strict=True))
 
     def one_by_one(self, words: list[str]) -> list[bytes]:
         got = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
@@ -97,12 +118,38 @@ class WordTokenizer:
 
     def batch(self, texts: list[str | None], end_id: int | None) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text, with ``end_id`` after them."""
-        cache = self.cache
-        cache.age()
-        split = [t.split(" ") if any(c in t for c in KEPT) else t.split() for t in (x or "" for x in texts)]
-        self.learn(cache.missing(set().union(*split)) if split else [])
-        get, tail = cache.young.__getitem__, b"" if end_id is None else end_id.to_bytes(4, "little")
-        return [b"".join(map(get, s)) + tail for s in split]
+        out: list[bytes] = []
+        tail = b"" if end_id is None else end_id.to_bytes(4, "little")
+        texts = [t or "" for t in texts]
+        for part in groups(texts, PART):
+            self.cache.age()
+            split = [self.words(texts[i]) for i in part]
+            self.learn(self.cache.missing(set().union(*split)))
+            get = self.cache.young.__getitem__
+            out += [b"".join(map(get, s)) + tail for s in split]
+        return out
+
+
+def steps(spec: dict, part: str) -> list[dict]:
+    """The normalizers or pre-tokenizers of a tokenizer, in a sequence or alone."""
+    of = spec.get(part) or {}
+    return [n for n in of.get("normalizers", of.get("pretokenizers", [of])) if n]
+
+
+def kinds(spec: dict, part: str) -> list[str]:
+    return [n["type"] for n in steps(spec, part)]
+
+
+def latin(text: str) -> bool:
+    """Is a text Latin-1, and without a special token?"""
+    if MARK in text:
+        return False
+    if not text.isascii():
+        try:
+            text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+    return True
 
 
 @lru_cache(maxsize=4)

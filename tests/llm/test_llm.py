@@ -17,7 +17,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessella.llm import bpe, langid, neardup, packing, pii, quality, queries, rules, scoring, topk, toxicity
+from tessella.llm import bpe, common, langid, neardup, packing, pii, quality, queries, rules, scoring, topk, toxicity
 from tessella.llm.hashing import SortedHash, shingles_of, words_of
 
 BYTE, WORD = P.path("byte_bpe_50k.json"), P.path("word_bpe_49k.json")
@@ -74,6 +74,21 @@ def test_bpe_spaces():
         assert np.frombuffer(own.encode_batch([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_packing_words_are_shared_by_spellings():
+    """One cached word for all cases and signs around it; any text gives the library's ids."""
+    words = packing.WordTokenizer(WORD)
+    words.batch(["Über über, (ÜBER) über%%% \u201cÜber\u201d über."], None)
+    assert {w for w in words.cache.young if len(w) > 2} == {"über", "%%%", "\u201cÜber\u201d"}
+    pick = random.Random(8)
+    some = [chr(i) for i in range(256)] + ["'s", "'re", "'", "\u0301", "\u0130", "\u03a3", "\u65e5", "\u0663", "\u2003", "<|startoftext|>", "<|"]
+    texts = some + ["".join(pick.choices(some + list("aBé'stremvld ."), k=12)) for _ in range(3000)] + ["", "x'S!'s"]
+    lib = Tokenizer.from_file(WORD)
+    for divides in (words.divides, False):
+        words.divides = divides
+        words.cache = common.TwoGenerations(500)
+        assert words.batch(texts, None) == [struct.pack(f"<{len(e.ids)}I", *e.ids) for e in lib.encode_batch(texts, add_special_tokens=False)]
+
+
 @pytest.mark.parametrize("which", ["odd", "documents"])
 def test_packing(spark, odd, docs, nothing, which):
     df = odd if which == "odd" else docs
