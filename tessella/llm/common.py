@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import os
 from collections.abc import Callable, Iterable, Iterator
@@ -61,6 +62,17 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Give back to the system the memory that a task has freed: its worker is kept for the stages that follow.
+
+    Does nothing where the C library can't.
+    """
+    pa.default_memory_pool().release_unused()
+    give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if give_back is not None:
+        give_back(0)
+
+
 def fold(doc_id: str | Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null ids give null."""
     c = F.col(doc_id) if isinstance(doc_id, str) else doc_id
@@ -98,6 +110,7 @@ def map_text(
                 for f in list(arrow)[1:]
             ]
             yield pa.RecordBatch.from_arrays(arrays, schema=arrow)
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, parsed)
 

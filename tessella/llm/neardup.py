@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_text, prepare, release
+from .common import cut, map_text, prepare, release, trim
 from .hashing import U, mix, shingles_of
 
 TREES, DEPTH, SHALLOW = 24, 8, 4
@@ -201,6 +201,7 @@ def in_groups(rows: DataFrame, keys: list[str], order: list[str], work: Callable
         for table in streamed(batches, len(keys)):
             node = table["node"].to_pylist()
             yield edge_batch([(node[i], node[j]) for i, j in work(table, borders(table, len(keys)))])
+        trim()
 
     first = rows.select(*keys, *[c for c in rows.columns if c not in keys])
     return first.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, "u binary, v binary")

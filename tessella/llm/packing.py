@@ -12,6 +12,7 @@ are full.
 from __future__ import annotations
 
 import json
+import os
 import re
 from bisect import bisect_left, bisect_right, insort
 from collections.abc import Iterator
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from .common import TwoGenerations, prepare
+from .common import TwoGenerations, prepare, trim
 from .hashing import groups
 
 WINDOW = 2048
@@ -33,7 +34,7 @@ END_ID = 1
 #: Tokens of a step group, and rests that a packing round holds in memory.
 STEP_TOKENS, ROUND = 16 * WINDOW, 4096
 #: Words in each generation of the cache, and characters of text whose words are held at a time.
-CACHE_WORDS, PART = 200_000, 1 << 20
+CACHE_WORDS, PART = 100_000, 1 << 20
 #: How the tokenizer divides normalized texts, and the same for lower-cased Latin-1.
 DIVIDED = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 WORD = re.compile("[a-zªµºß-öø-ÿ]+|[0-9²³¹¼-¾]|'(?:s|t|re|ve|m|ll|d)|[^\t-\r \x85\xa00-9²³¹¼-¾a-zªµºß-öø-ÿ]+")
@@ -55,6 +56,8 @@ class WordTokenizer:
     def __init__(self, path: str):
         from tokenizers import Tokenizer, pre_tokenizers
 
+        # a task has one core: no pool of threads, each with memory of its own
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
@@ -304,5 +307,6 @@ def pack_documents(
             yield flush()
         packer.finish()
         yield flush()
+        trim()
 
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(run, schema)

@@ -74,6 +74,18 @@ def test_bpe_spaces():
         assert np.frombuffer(own.encode_batch([t])[0], "<u4").tolist() == lib.encode(t, add_special_tokens=False).ids
 
 
+def test_trim_gives_back_what_a_task_freed():
+    def resident() -> int:
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1]) * 4096
+
+    held = [bytes(1000) for _ in range(200_000)]
+    held = held[::1000]  # what stays keeps the rest from going back by itself
+    full = resident()
+    common.trim()
+    assert held and full - resident() > 100e6
+
+
 def test_packing_words_are_shared_by_spellings():
     """One cached word for all cases and signs around it; any text gives the library's ids."""
     words = packing.WordTokenizer(WORD)
